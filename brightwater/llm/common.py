@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 BLOCK_BYTES = 1 << 21
 _own_dirs: dict[str, str] = {}
@@ -133,3 +134,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= _U(0x94D049BB133111EB)
     x ^= x >> _U(31)
     return x
+
+
+KNOWN_WORDS = 400_000
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; kept while there is room."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxh3_64_intdigest(word)
+        if len(self) < KNOWN_WORDS:
+            self[word] = h
+        return h
+
+
+_hashes = WordHashes()
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+_STEP = _U(0x9E3779B97F4A7C15)
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` words."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = words[:n].copy()
+    for i in range(1, length):
+        h *= _STEP
+        h += words[i : i + n]
+    return mix64(h ^ _U(length))

@@ -31,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, byte_texts, mix64
+from .common import blocks_of, byte_texts, hash_words, run_hashes
 
 WINDOW, SHINGLE = 10, 5
 ITEM_BLOCK_WORDS = 1_000_000
-KNOWN_WORDS = 400_000
 
 # Digits, lower-case letters and all bytes beyond ASCII make words; A-Z become a-z
 _WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,40 +44,6 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_WORD_BYTES).split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        h = xxh3_64_intdigest(word)
-        if len(self) < KNOWN_WORDS:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of ``length`` words."""
-    n = len(words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = words[:n].copy()
-    for i in range(1, length):
-        h *= _STEP
-        h += words[i : i + n]
-    return mix64(h ^ np.uint64(length))
-
-
 class Index:
     """Windows of a block of items, by their rarest shingle."""
 
