@@ -65,6 +65,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeated_strings
+
+    return repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -131,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_url_filter": op4_url_filter,
         "op5_language_id": op5_language_id,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_mix": op7_mix,
         "op8_secret_scan": op8_secret_scan,
         "op9_decontaminate": op9_decontaminate,
