@@ -94,3 +94,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
 def ranged_join(ranked: DataFrame, targets: DataFrame) -> DataFrame:
     """Attach each source's totals; the join may split a hot source (one row on the other side)."""
     return ranked.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "t.source_size", "t.target")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The documents of the mix, each row as often as it is taken, all columns kept.
+
+    Rows meet their number of copies by a hash of all columns; rows equal in all columns pool theirs.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    taken = mix(keyed, weights, budget, max_epochs, id_col, text_col, source_col, seed, row_key="_key")
+    times = taken.groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").alias("_times")).where("_times > 0")
+    rows = keyed.dropDuplicates(["_key"]).join(times, "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
