@@ -16,8 +16,8 @@ Scale. Documents are never shuffled: each block of items, at most ``ITEM_BLOCK_W
 benchmark is more blocks, so what is broadcast has a fixed bound. Shingle counts come from a first
 pass whose partial sums are added up by shingle. Hits of several blocks are merged per document.
 
-Cases. Null text: no words, no hit. Items without words: no window. Repeated items or documents:
-each counts for itself. No benchmark rows: nothing hit. Null item ids: windows count for hits, not
+Cases. Null text: no words, no hit. Items without words: no window. Repeated documents: a row each;
+an item id that repeats counts once, with the windows of all its rows. No benchmark rows: nothing hit. Null item ids: windows count for hits, not
 in the item list. Extra columns are ignored.
 """
 
@@ -153,7 +153,7 @@ def _hit_partition(shared, counts):
                     ranges, found = hits_in(words, index)
                     n_words.append(len(words))
                     spans.append([{"s": s, "e": e} for s, e in _union(ranges)])
-                    items.append([str(index.item_ids[i]) for i in found if index.item_ids[i] is not None])
+                    items.append(sorted({str(index.item_ids[i]) for i in found if index.item_ids[i] is not None}))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string())), part.column(2)], ["doc_id", "n_words", "spans", "items", "row"])
 
     return run

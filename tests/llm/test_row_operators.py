@@ -1,0 +1,147 @@
+"""Media, secrets, URL rules and language: row by row against plain versions."""
+
+import base64
+import gzip
+import random
+import re
+import zlib
+from hashlib import sha256
+
+import plain
+import pytest
+from brightwater.llm import language_id as li
+from brightwater.llm import media, secrets, url_filter
+
+
+def test_media_round_trip_and_digests(spark):
+    rows = plain.corpus()
+    docs = spark.createDataFrame(rows, plain.SCHEMA).selectExpr("*", "'x' AS media", "1 AS n_bytes")
+    got = sorted((tuple(r) for r in media.media_digests(media.store_texts(docs)).collect()), key=str)
+    want = []
+    for r in rows:
+        data = (r[1] or "").encode()
+        payload = media.pad(data)
+        assert len(payload) % 64 == 0 and payload[: len(data)] == data and len(payload) - len(data) < 64 + (not data)
+        m = media.mux(payload)
+        assert media.demux(m) == payload
+        want.append((r[0], len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), sha256(m).hexdigest(), media.feature(media.tracks_of(m))))
+    assert got == sorted(want, key=str)
+    assert media.media_digests(media.store_texts(spark.createDataFrame([], plain.SCHEMA))).collect() == []
+
+
+def test_media_walks_variants_and_reports_damage(spark):
+    m = media.mux(media.pad(b"abc" * 500))
+    at = m.index(b"mdat") - 4
+    to_end = m[:at] + b"\0\0\0\0" + m[at + 4 :]  # a last box without a size
+    assert media.demux(to_end) == media.demux(m)
+    t = media.tracks_of(m)[0]
+    assert (t["codec"], t["timescale"], t["duration"], t["units"]) == ("raw ", 8000, 1536, 24) and [n for _, n in t["keyframes"]] == [64, 64]
+    # 4-bit and 16-bit unit sizes
+    assert media._sizes(b"\0\0\0\0\0\0\0\4\0\0\0\3\x12\x30", b"stz2", 0, 14) == (3, 0, [1, 2, 3])
+    assert media._sizes(b"\0\0\0\0\0\0\0\x10\0\0\0\2\0\5\1\0", b"stz2", 0, 16) == (2, 0, [5, 256])
+    df = spark.createDataFrame([(1, bytearray(m)), (2, bytearray(m[:-70])), (3, None), (4, bytearray(b"junk")), (5, bytearray(media.box(b"free", b"x")))], "id int, media binary")
+    got = {r["id"]: r["media_info"] for r in media.media_columns(df).collect()}
+    assert got[1]["codec"] == "raw " and got[1]["error"] is None and len(got[1]["keyframes"]) == 2
+    assert "past its parent" in got[2]["error"] and got[3]["error"] == "null" and "stray" in got[4]["error"] and got[5]["error"] == "no track"
+
+
+def brute_base(text):
+    out = []
+    for kind, pattern, least, group in (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1), ("access", r"AKIA[A-Z0-9]+", 16, 0), ("hex", r"[0-9a-f]+", 32, 0)):
+        for x in re.finditer(pattern, text, re.ASCII):
+            if len(x[group]) >= least:
+                out.append((x.start(), ("assign", "access", "hex").index(kind), x.end()))
+    return sorted(out)
+
+
+def test_secrets_base_equals_plain_regex(spark):
+    rng = random.Random(3)
+    parts = ["password", "PassWd", "api_key", "apikey", "toKen", "ſecret", "=", ":", '"', "'", " ", "abc12345", "AKIA", "ABCDEFGH01234567", "0123456789abcdef" * 2, "deadbeef", "é", "\n", "==", "-._/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], plain.SCHEMA)
+    for r in secrets.scan_secrets(docs.selectExpr("*", "1 AS spans")).collect():
+        base = brute_base(texts[r["doc_id"]] or "")
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b[1] == k for b in base) for k in range(3)]
+        assert r["base_sha256"] == sha256(secrets.listed(base).encode()).hexdigest()
+        assert {s for s in secrets.listed(base).split(",") if s} <= set(r["spans"].split(","))
+
+
+def hidden(text):
+    base, every = secrets.find_secrets(text)
+    return [text[s:e] for s, _, e in every if (s, _, e) not in base]
+
+
+def test_secrets_in_layers():
+    plain_secret = "token=abcdefgh12345678"
+    b64 = base64.b64encode(plain_secret.encode()).decode()
+    assert hidden(f"x {b64} y") == [b64[: len(b64)].rstrip("=")] or b64.startswith(hidden(f"x {b64} y")[0][:20])
+    assert hidden("q=pass%77ord%3Dabcdefgh1 z") == ["pass%77ord%3Dabcdefgh1"]
+    assert hidden("\\u0070assword=abcdefgh1") == ["\\u0070assword=abcdefgh1"]
+    packed = base64.b64encode(gzip.compress(zlib.compress(plain_secret.encode()))).decode()
+    assert hidden(f"({packed})") == [packed]
+    twice = base64.b64encode(("see " + b64).encode()).decode()
+    assert len(hidden(twice)) == 1
+    pct = "".join(f"%{c:02x}" for c in b64.encode())
+    assert len(hidden(f"a {pct} b {pct}")) == 2  # the same layer at two places
+    assert hidden("no secrets in %41%42 or QUJDREVGR0hJSktMTU5P here") == []
+
+
+def test_cycles_end():
+    text = "%25"
+    for _ in range(12):
+        text = text.replace("%", "%25")
+    assert secrets.find_secrets(text) == ([], [])
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("a.b.com", "/en/x", "block"), (None, "/", "block")]
+
+
+def brute_url(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+    fits = [(len(h + p), h + p, v) for h, p, v in RULES if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, None, "allow"))
+    return host, path, best[1], best[2]
+
+
+def test_urls_equal_brute_force(spark):
+    rng = random.Random(7)
+    hosts = ["com", "net", "example.com", "www.example.com", "m.WWW.example.com", "xexample.com", "example.com.net", "example-x.com", "a.b.com", "z.a.b.com", "", ".com", "com.", "example.com:80"]
+    paths = ["", "/", "/en/", "/en/x?q=/en/", "/es/1#a", "/fr/", "?u=http://net/es/", "/en", "#x"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(500)] + [None, "", "example.com/en/", "://", "a://b://c/d"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(3, urls[3], None)], "page_id long, url string, html string").selectExpr("*", "'x' AS host", "1 AS piece")
+    rules = spark.createDataFrame(RULES, url_filter.RULE_SCHEMA)
+    got = url_filter.judge_urls(pages, rules).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute_url(urls[r["page_id"]]), urls[r["page_id"]]
+    assert url_filter.judge_urls(pages.limit(0), rules).collect() == []
+    assert url_filter.judge_urls(pages, rules.limit(0)).where("rule IS NOT NULL OR verdict <> 'allow'").count() == 0
+
+
+def test_language_held_out_accuracy_and_cases(spark):
+    words = {"en": "the and of to in that is was for with river house", "fr": "le la les des est dans que pour avec une rivière maison", "de": "der die das und ist nicht mit für eine fluß haus über", "es": "el los las que para con una por río casa niño está"}
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randrange(3, 40))), lang, "s", None) for i in range(400) for lang in [sorted(words)[i % 4]]]
+    extra = [(1000, None, "en", None, None), (1001, "123 ...", "fr", None, None), (1002, "the", None, None, None), (1003, "der fluß " * 30000, "de", None, None), (1004, "", None, None, None)]
+    docs = spark.createDataFrame(rows + extra, plain.SCHEMA).selectExpr("*", "'q' AS lang_pred", "1 AS score")
+    model = li.train(docs.where(~li.held_out(docs["doc_id"])))
+    got = {r["doc_id"]: r for r in li.identify(docs, model).collect()}
+    want = {r[0]: r[2] for r in rows}
+    held = [i for i in want if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {r[0] for r in docs.where(li.held_out(docs["doc_id"])).select("doc_id").collect()} >= set(held)
+    assert sum(got[i]["lang_pred"] == want[i] for i in held) >= 0.97 * len(held)
+    assert got[1000]["lang_pred"] == got[1001]["lang_pred"] == got[1004]["lang_pred"] == "und" and got[1003]["lang_pred"] == "de"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    none = li.train(docs.limit(0))
+    assert {r["lang_pred"] for r in li.identify(docs, none).collect()} == {"und"}
+    assert li.identify(docs.limit(0), model).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 9, 40])
+def test_codewords_differ(n):
+    code = li.codewords(n)
+    assert len({tuple(c) for c in code}) == n
+    if n > 1:
+        far = min((a != b).sum() for i, a in enumerate(code) for b in code[:i])
+        assert far >= 3
