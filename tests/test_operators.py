@@ -162,3 +162,24 @@ def test_set_operations_and_broadcast(spark):
     assert should_broadcast(a) and not should_broadcast(a, 1)
     assert a.broadcast_join(b, "id", threshold=1).n_rows() == 2
     assert a.rollup("id", n="count(*)").n_rows() == 6 and a.mutate(p=F.lit(1)).cube("id", "p", n="count(*)").n_rows() == 12
+
+
+def test_data_sets(spark, tmp_path):
+    from brightwater.sources import datasets
+
+    (tmp_path / "penguins.csv").write_text("species,mass\nA,NA\nB,3\n")
+    (tmp_path / "karate_club.csv").write_text("src,dst\n1,2\n2,3\n1,3\n")
+    assert sorted(datasets.load(spark, "penguins", str(tmp_path)).to_columns()["mass"], key=str) == [3, None]
+    g = datasets.karate_club(spark, str(tmp_path))
+    assert g.vertex_count() == 34 and g.edge_count() == 6 and g.triangle_count() == 1
+    with pytest.raises(ValueError):
+        datasets.load(spark, "moons", str(tmp_path))
+
+
+def test_streaming_verbs(spark, tmp_path):
+    from brightwater.streaming import run_available, stream_parquet
+
+    spark.range(10).selectExpr("id", "id % 3 AS k").write.parquet(str(tmp_path / "in"))
+    f = stream_parquet(spark, str(tmp_path / "in"), "id long, k long").filter(col("id") > 2).group_by("k").summarise(n="count(*)")
+    run_available(f, "stream_t")
+    assert sorted(map(tuple, spark.table("stream_t").collect())) == [(0, 3), (1, 2), (2, 2)]
