@@ -41,8 +41,8 @@ from .common import SharedTables, blocks_of, mix64
 
 ORDER = 5
 PEAK_BYTES = 4
-QUANTILE = 0.995
-HOLD_OUT, LEAST_HELD = 8, 50
+QUANTILE = 0.99
+HOLD_OUT, LEAST_HELD = 4, 50
 MODEL_ROWS = 6_000_000
 TRUSTED_IDS = 4_000_000
 _U = np.uint64
