@@ -256,11 +256,21 @@ class Frame:
 
     # results
 
-    def compute(self) -> Frame:
-        """Run now and keep the rows on the executors (memory, then disk); lost parts are recomputed."""
+    def compute(self, broadcast_threshold: int | None = None) -> Frame:
+        """Run now and keep the rows on the executors (memory, then disk); lost parts are recomputed.
+
+        ``broadcast_threshold``: bytes up to which this run's joins broadcast a side.
+        """
+        conf, key = self.df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold"
+        before = conf.get(key)
         with span(("query",), n_columns=len(self.columns)) as info:
-            df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
-            info["n_rows"] = df.count()
+            try:
+                if broadcast_threshold is not None:
+                    conf.set(key, str(broadcast_threshold))
+                df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
+                info["n_rows"] = df.count()
+            finally:
+                conf.set(key, before)
         return self._with(df)
 
     collect = compute
