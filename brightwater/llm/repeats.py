@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import SharedTables, blocks_of, byte_texts, mix64, release_shuffles
 
 LENGTH, GRAM = 400, 64
-MOST_CONTEXTS = 4096
+MOST_CONTEXTS = 2048
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -102,23 +102,39 @@ def anchors_of(grams: np.ndarray, width: int) -> np.ndarray:
     return at[np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))]
 
 
+SEGMENT = 1 << 22
+
+
 def anchor_rows(data: bytes) -> tuple[np.ndarray, ...] | None:
-    """(position, gram, context, left half, right half) of every anchor; None: too short for one."""
-    n = len(data)
+    """(position, gram, context, left half, right half, context's begin and end) of every anchor.
+
+    None: too short for one. A longer text is walked in segments of windows, so the work arrays stay
+    bounded; each segment sees as many bytes to both sides as its anchors' contexts need.
+    """
+    n, side = len(data), LENGTH - GRAM
     if n < LENGTH:
         return None
-    raw = np.frombuffer(data, np.uint8)
-    prefix = prefix_hash(raw)
-    up = np.arange(n - GRAM + 1)
-    grams = span_hash(prefix, up, up + GRAM)
-    at = anchors_of(grams, LENGTH - GRAM + 1)
-    side = LENGTH - GRAM
-    begin, end = np.maximum(at - side, 0), np.minimum(at + LENGTH, n)
-    context = mix64(span_hash(prefix, begin, end) + (at - begin).astype(np.uint64))
-    half = side // 2
-    left = np.where(at >= half, span_hash(prefix, np.maximum(at - half, 0), at), 0)
-    right = np.where(at + GRAM + half <= n, span_hash(prefix, at + GRAM, np.minimum(at + GRAM + half, n)), 0)
-    return at, grams[at], context, left, right, begin, end
+    parts, last = [], -1
+    for first in range(0, n - LENGTH + 1, SEGMENT):
+        lo, hi = max(0, first - side), min(n, first + SEGMENT + 2 * LENGTH)
+        raw = np.frombuffer(data, np.uint8, hi - lo, lo)
+        prefix = prefix_hash(raw)
+        starts = np.arange(first - lo, min(first + SEGMENT + side, n - GRAM + 1) - lo)
+        grams = span_hash(prefix, starts, starts + GRAM)
+        own = anchors_of(grams, side + 1)
+        at = own + first
+        fresh = at > last  # the first anchor may be the last of the segment before
+        at, gram = at[fresh], grams[own[fresh]]
+        if not len(at):
+            continue
+        last = int(at[-1])
+        begin, end = np.maximum(at - side, 0), np.minimum(at + LENGTH, n)
+        context = mix64(span_hash(prefix, begin - lo, end - lo) + (at - begin).astype(np.uint64))
+        half = side // 2
+        left = np.where(at >= half, span_hash(prefix, np.maximum(at - half, 0) - lo, at - lo), 0)
+        right = np.where(at + GRAM + half <= n, span_hash(prefix, at + GRAM - lo, np.minimum(at + GRAM + half, n) - lo), 0)
+        parts.append((at, gram, context, left, right, begin, end))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 ANCHORS = "row long, at int, begin int, end int, gram long, context long, lhalf long, rhalf long"
@@ -128,7 +144,7 @@ _ANCHOR_NAMES = ["row", "at", "begin", "end", "gram", "context", "lhalf", "rhalf
 def _anchor_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, texts = b.column(0).to_pylist(), byte_texts(b.column(1))
-        for lo, hi in blocks_of(texts):
+        for lo, hi in blocks_of(texts, 1 << 20):
             parts: list[list[np.ndarray]] = [[] for _ in _ANCHOR_NAMES]
             for row, t in zip(rows[lo:hi], texts[lo:hi], strict=True):
                 got = anchor_rows(t or b"")
@@ -157,14 +173,17 @@ def _open(z: bytes) -> bytes:
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, z, wanted anchors) to one row per wanted context with its bytes."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
     for b in batches:
-        for i in range(b.num_rows):
-            data = _open(b.column(1)[i].as_py())
-            own = b.column(2)[i].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w["gram"] for w in own], pa.int64()), pa.array([w["chunks"] for w in own], pa.int32()), pa.array([w["context"] for w in own], pa.int64()), pa.array([w["at"] - w["begin"] for w in own], pa.int32()), pa.array([data[w["begin"] : w["end"]] for w in own], pa.binary())],
-                ["gram", "chunks", "context", "lead", "bytes"],
-            )
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for z, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                data = _open(z)
+                for w in own:
+                    for to, v in zip(out, (w["gram"], w["chunks"], w["context"], w["at"] - w["begin"], data[w["begin"] : w["end"]]), strict=True):
+                        to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["gram", "chunks", "context", "lead", "bytes"])
 
 
 CONTEXTS = "gram long, chunks int, context long, lead int, bytes binary"
@@ -221,7 +240,7 @@ def _meet_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     size = 0
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-            if held and size > 1 << 20 and row[:2] != held[-1][:2]:
+            if held and size > 1 << 19 and row[:2] != held[-1][:2]:
                 yield settle(held)
                 held, size = [], 0
             held.append(row)

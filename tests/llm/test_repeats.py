@@ -32,3 +32,12 @@ def test_equals_brute_force(spark, monkeypatch, chunk):
 
 def test_empty_table(spark):
     assert rp.repeated_strings(spark.createDataFrame([], plain.SCHEMA)).collect() == []
+
+
+def test_segments_give_the_same_anchors(monkeypatch):
+    rng = random.Random(1)
+    data = bytes(rng.choice(b"abcd") for _ in range(9000)) + b"z" * 1500 + bytes(rng.choice(b"xy ") for _ in range(4000))
+    whole = rp.anchor_rows(data)
+    monkeypatch.setattr(rp, "SEGMENT", 700)
+    parts = rp.anchor_rows(data)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
