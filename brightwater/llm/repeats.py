@@ -16,8 +16,8 @@ order is built over anchored suffixes and only as deep as the threshold:
   An anchor alone with both is done.
 * Last pass, for what is left, one anchor of each context: contexts of equal gram meet, and within
   them the strings of LENGTH bytes are sorted by (gram, place, hash): equal groups are exactly the
-  repeated windows. Grams with more than ``MOST_CONTEXTS`` contexts are dealt in chunks: strings
-  that repeat within a chunk are settled there, and chunks exchange the rest by hash.
+  repeated windows. Grams with more than ``MOST_CONTEXTS`` contexts (about 50 MB) are dealt in chunks:
+  strings that repeat within a chunk are settled there, and chunks exchange the rest by hash.
 
 Hashes have 64 bits and are only compared within a gram.
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import SharedTables, blocks_of, byte_texts, mix64, release_shuffles
 
 LENGTH, GRAM = 400, 64
-MOST_CONTEXTS = 2048
+MOST_CONTEXTS = 1 << 16
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -189,18 +189,37 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 CONTEXTS = "gram long, chunks int, context long, lead int, bytes binary"
 
 
-def window_keys(contexts: list[bytes], leads: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context number, start inside the context, key over gram, place and bytes) of all their windows."""
+PLACES = LENGTH - GRAM + 1  # where the gram of a context can stand in a window
+SLICE_KEYS = 1 << 20
+
+
+def window_keys(contexts: list[bytes], leads: np.ndarray, grams: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context number, place, key over gram, place and bytes) of the windows at places lo to hi.
+
+    Place p is the window that starts PLACES - 1 - p bytes before the gram. Contexts are hashed a few
+    at a time, and of each only the bytes that these windows cover.
+    """
     sizes = np.array([len(c) for c in contexts])
-    flat = np.frombuffer(b"".join(contexts), np.uint8)
-    base = np.cumsum(sizes) - sizes
-    prefix = prefix_hash(flat)
-    count = np.maximum(sizes - LENGTH + 1, 0)
-    who = np.repeat(np.arange(len(contexts)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin = base[who] + start
-    place = (start - leads[who]).astype(np.int64).view(np.uint64)
-    return who, start, mix64(span_hash(prefix, begin, begin + LENGTH) ^ mix64(grams[who] + place * _BASE))
+    first = np.maximum(0, lo - PLACES + 1 + leads)
+    last = np.minimum(sizes - LENGTH, hi - PLACES + leads)
+    parts = []
+    for at in range(0, len(contexts), 1024):
+        some = np.flatnonzero(last[at : at + 1024] >= first[at : at + 1024]) + at
+        if not len(some):
+            continue
+        pieces = [contexts[i][f : n + LENGTH] for i, f, n in zip(some.tolist(), first[some].tolist(), last[some].tolist(), strict=True)]
+        count = last[some] - first[some] + 1
+        length = count + LENGTH - 1
+        prefix = prefix_hash(np.frombuffer(b"".join(pieces), np.uint8))
+        own = np.repeat(np.arange(len(some)), count)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        begin = (np.cumsum(length) - length)[own] + step
+        who = some[own]
+        place = first[who] + step - leads[who] + PLACES - 1
+        parts.append((who, place, mix64(span_hash(prefix, begin, begin + LENGTH) ^ mix64(grams[who] + place.astype(np.uint64) * _BASE))))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def _runs(who: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -215,38 +234,55 @@ def _runs(who: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
 FOUND = "gram long, context long, lo int, hi int, key long, sure boolean"
 
 
-def _meet_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by (gram, chunk) to covered ranges; of chunked grams also open window keys."""
-    held: list[tuple] = []
+def _found(gram: np.ndarray, context: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, sure: bool) -> pa.RecordBatch:
+    cols = [pa.array(gram), pa.array(context), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(key), pa.array(np.full(len(lo), sure))]
+    return pa.RecordBatch.from_arrays(cols, ["gram", "context", "lo", "hi", "key", "sure"])
+
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        grams = np.array([r[0] for r in rows], np.int64)
-        many = np.array([r[2] > 1 for r in rows])
-        chunk = np.array([r[1] for r in rows], np.uint64)
-        context = np.array([r[3] for r in rows], np.int64)
-        who, start, key = window_keys([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), grams.view(np.uint64))
-        local = key + chunk[who] * _BASE if many.any() else key
+def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of (gram, chunk, chunks, context, lead, bytes) to what repeats within them.
+
+    Windows only meet at equal places, so places are taken in slices of bounded size.
+    """
+    contexts = [r[5] for r in rows]
+    grams = np.array([r[0] for r in rows], np.int64)
+    many = np.array([r[2] > 1 for r in rows])
+    chunk = np.array([r[1] for r in rows], np.uint64)
+    context = np.array([r[3] for r in rows], np.int64)
+    leads = np.array([r[4] for r in rows], np.int64)
+    covered = np.zeros((len(rows), PLACES), bool)
+    width = min(PLACES, max(1, SLICE_KEYS // len(rows)))
+    for lo in range(0, PLACES, width):
+        who, place, key = window_keys(contexts, leads, grams.view(np.uint64), lo, min(PLACES, lo + width))
+        local = key + chunk[who] * _BASE
         _, first, back, n = np.unique(local, return_index=True, return_inverse=True, return_counts=True)
         sure = n[back] > 1
-        runs = np.array(list(_runs(who[sure], start[sure])), np.int64).reshape(-1, 3)
+        covered[who[sure], place[sure]] = True
         open_at = first[many[who[first]]]  # of grams dealt in chunks: one row per key, to meet the other chunks
-        w = np.concatenate([runs[:, 0], who[open_at]])
-        lo = np.concatenate([runs[:, 1], start[open_at]]).astype(np.int32)
-        hi = np.concatenate([runs[:, 2], start[open_at] + LENGTH]).astype(np.int32)
-        keys = np.concatenate([np.zeros(len(runs), np.int64), key[open_at].view(np.int64)])
-        settled = np.arange(len(w)) < len(runs)
-        return pa.RecordBatch.from_arrays([pa.array(grams[w]), pa.array(context[w]), pa.array(lo), pa.array(hi), pa.array(keys), pa.array(settled)], ["gram", "context", "lo", "hi", "key", "sure"])
+        if len(open_at):
+            w = who[open_at]
+            start = place[open_at] + leads[w] - PLACES + 1
+            yield _found(grams[w], context[w], start, start + LENGTH, key[open_at].view(np.int64), False)
+    for at in range(0, len(rows), 2048):
+        who, place = np.nonzero(covered[at : at + 2048])
+        runs = np.array(list(_runs(who + at, place + leads[who + at] - PLACES + 1)), np.int64).reshape(-1, 3)
+        if len(runs):
+            yield _found(grams[runs[:, 0]], context[runs[:, 0]], runs[:, 1], runs[:, 2], np.zeros(len(runs), np.int64), True)
 
+
+def _meet_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by (gram, chunk) to covered ranges; of chunked grams also open window keys."""
+    held: list[tuple] = []
     size = 0
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if held and size > 1 << 19 and row[:2] != held[-1][:2]:
-                yield settle(held)
+                yield from settle(held)
                 held, size = [], 0
             held.append(row)
             size += len(row[5])
     if held:
-        yield settle(held)
+        yield from settle(held)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

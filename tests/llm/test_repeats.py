@@ -18,7 +18,7 @@ def rows_with_repeats():
     return [*rows, *[(1000 + i, t, "en", "a", None) for i, t in enumerate([*more, *hot])]]
 
 
-@pytest.mark.parametrize("chunk", [4096, 3])
+@pytest.mark.parametrize("chunk", [1 << 16, 3])
 def test_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(rp, "MOST_CONTEXTS", chunk)
     rows = rows_with_repeats()
@@ -41,3 +41,19 @@ def test_segments_give_the_same_anchors(monkeypatch):
     monkeypatch.setattr(rp, "SEGMENT", 700)
     parts = rp.anchor_rows(data)
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_slices_of_places_give_the_same(monkeypatch):
+    rng = random.Random(6)
+    core = bytes(rng.choice(b"abcdef") for _ in range(500))
+    gram, lead = core[200:264], 336
+    rows = []
+    for i in range(9):
+        left, right = rng.randrange(150, 200), rng.randrange(190, 236)
+        own = lambda n: bytes(rng.choice(b"xyz") for _ in range(n))  # noqa: E731, B023
+        rows.append((1, 0, 1 + i % 2, i, lead, own(336 - left) + core[200 - left : 264 + right] + own(336 - right)))
+    assert all(r[5][lead : lead + 64] == gram for r in rows)
+    whole = sorted(x for b in rp.settle(rows) for x in map(tuple, zip(*b.to_pydict().values(), strict=True)))
+    monkeypatch.setattr(rp, "SLICE_KEYS", 30)
+    sliced = sorted(x for b in rp.settle(rows) for x in map(tuple, zip(*b.to_pydict().values(), strict=True)))
+    assert whole == sliced and any(x[5] for x in whole)
