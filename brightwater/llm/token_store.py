@@ -41,7 +41,7 @@ from .common import SharedTables, prefix_sums, release_shuffles
 WINDOW = 16
 LEAST, MOST, MASK_BITS = 64, 2048, 9
 FAN_OUT = 1024
-KNOWN_PIECES, KNOWN_WORDS = 300_000, 500_000
+KNOWN_PIECES, KNOWN_WORDS = 400_000, 800_000
 END_ID = 1
 
 
@@ -153,9 +153,11 @@ def _gear() -> np.ndarray:
 def cut_points(ids: np.ndarray, lengths: list[int], gear: np.ndarray) -> list[list[int]]:
     """For documents laid end to end: the ends of each one's chunks, from its own start."""
     value = gear[ids & 0xFFFF] if len(ids) else np.zeros(0, np.uint64)
-    rolled = value.copy()
-    for back in range(1, WINDOW):
-        rolled[back:] += value[:-back] << np.uint64(back)
+    rolled, width = value, 1
+    while width < WINDOW:  # sums over the last 2, 4, 8, 16 ids, each id shifted by its distance
+        wider = rolled.copy()
+        wider[width:] += rolled[:-width] << np.uint64(width)
+        rolled, width = wider, 2 * width
     # the window never reaches another document: no chunk ends before LEAST > WINDOW ids
     marks = np.flatnonzero((rolled >> np.uint64(WINDOW)) & np.uint64((1 << MASK_BITS) - 1) == 0).tolist()
     out, at, m = [], 0, 0
