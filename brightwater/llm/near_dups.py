@@ -9,14 +9,17 @@ the value (round, hash), in round COORDS + i every element falls into bin i; a b
 value, and a document stops at the first round with all bins filled. So each coordinate is filled for
 certain, and matching coordinates concentrate around the similarity. ``BANDS`` bands of ``ROWS``
 coordinates: two sets at the threshold share no band with probability under 3e-6, and less above it.
+The other coordinates sharpen estimates.
 
 Equal sets are one node (the 64-bit hash of the set). Nodes that share a band value are compared:
 
-1. every node of a bucket with the bucket's least node, a star, so a bucket of n makes n - 1 pairs;
-2. after the components of the confirmed stars, in buckets that still hold several components, nodes
-   of different components in blocks of bounded size, by sketch; pairs whose sketches agree in at
-   least ``LEAST_MATCHES`` coordinates (six standard deviations under the threshold) and whose sizes
-   allow the threshold are confirmed on the full sets too. No bucket is capped.
+1. in rounds, each node of a bucket that holds several components with one hub of another of them, a
+   star, so a round confirms at most one pair per node; components are joined, and rounds go on
+   with other hubs while one pair in ``LEAST_YIELD`` is a link (``STAR_ROUNDS`` at most);
+2. in buckets that still hold several components, nodes of different components in blocks of bounded
+   size, by sketch; pairs whose sketches agree in at least ``LEAST_MATCHES`` coordinates (five
+   standard deviations under the threshold), whose sizes allow the threshold, and whose similarities
+   to a common hub do (the triangle inequality), are confirmed on the full sets. No bucket is capped.
 
 Texts move once, to find those of candidate nodes; confirmations group them by the star's centre in
 salted groups of bounded size. Components are DataFrame iterations; nothing but counts reaches the
@@ -41,10 +44,10 @@ from .common import SharedTables, blocks_of, byte_texts, hash_words, mix64, rele
 from .graph_labels import component_labels
 
 SHINGLE = 5
-COORDS, ROWS = 240, 5
-BANDS = COORDS // ROWS
-LEAST_MATCHES = 140
+COORDS, ROWS, BANDS = 480, 5, 48
+LEAST_MATCHES = 313
 STAR_GROUP, BLOCK = 256, 512
+STAR_ROUNDS, LEAST_YIELD = 8, 20
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -86,7 +89,7 @@ def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
 
 def band_values(rows: np.ndarray) -> np.ndarray:
     """(n, BANDS) hashes of the bands of sketches."""
-    parts = rows.reshape(len(rows), -1, ROWS)
+    parts = rows[:, : BANDS * ROWS].reshape(len(rows), BANDS, ROWS)
     acc = np.broadcast_to(mix64(np.arange(parts.shape[1], dtype=np.uint64)), parts.shape[:2]).copy()
     for i in range(ROWS):
         acc = mix64(acc * _U(0x9E3779B97F4A7C15) + parts[:, :, i])
@@ -125,11 +128,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, salt, centre, key, text) sorted with the centre first in each group, to links."""
+    """Rows (grp, salt, centre, key, text) sorted with the centre first in each group, to compared pairs."""
     at, centre = None, None
     for b in batches:
         grp, salt, is_centre, key = (b.column(i).to_pylist() for i in range(4))
-        xs, ys = [], []
+        xs, ys, js, linked = [], [], [], []
         for g, s, c, k, t in zip(grp, salt, is_centre, key, byte_texts(b.column(4)), strict=True):
             own = shingle_set(t)
             if set_key(own) != k:
@@ -138,13 +141,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, centre = (g, s), own
             elif at == (g, s):
                 common = len(np.intersect1d(centre, own, assume_unique=True))
-                if 100 * common >= 75 * (len(centre) + len(own) - common):
-                    xs.append(g), ys.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+                union = len(centre) + len(own) - common
+                xs.append(g), ys.append(k), js.append(common / union), linked.append(100 * common >= 75 * union)
+        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(js, pa.float64()), pa.array(linked, pa.bool_())], ["x", "y", "j", "linked"])
 
 
 def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, lo, hi, side, key, label, n, sketch) sorted by (b, lo, hi), to candidate pairs."""
+    """Rows (b, lo, hi, side, key, label, n, sketch, pivot, j) sorted by (b, lo, hi), to candidate pairs."""
     held: list[tuple] = []
     at = None
 
@@ -156,10 +159,14 @@ def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         label = np.array([h[2] for h in held])
         n = np.array([h[3] for h in held], np.int64)
         marks = np.frombuffer(b"".join([h[4] for h in held]), np.uint8).reshape(len(held), -1)
+        pivot = np.array([h[5] if h[5] is not None else h[1] for h in held])
+        near = np.array([h[6] if h[6] is not None else 1.0 for h in held])
         within = at[1] == at[2]
         for i in range(len(held) - 1):
             rest = slice(i + 1, None)
             ok = (label[rest] != label[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))
+            # 1 - similarity is a metric: nodes that differ by more from one pivot are not near each other
+            ok &= (pivot[rest] != pivot[i]) | (np.abs(near[rest] - near[i]) <= 0.25 + 1e-9)
             if not within:
                 ok &= side[rest] != side[i]
             other = np.flatnonzero(ok) + i + 1
@@ -172,7 +179,7 @@ def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["x", "y"])
 
     for b in batches:
-        for bb, lo, hi, *row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+        for bb, lo, hi, *row in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
             if (bb, lo, hi) != at:
                 yield flush()
                 held.clear()
@@ -182,13 +189,56 @@ def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (x, y) among candidate pairs (x, y), on the full sets of ``texts`` (key, text)."""
+    """Candidate pairs (x, y) with their similarity j on the full sets of ``texts`` (key, text), and linked."""
     load = pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR_GROUP).cast("int").alias("salts"))
     members = pairs.join(load, "x").select(F.col("x").alias("grp"), F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("centre"), F.col("y").alias("key"))
     centres = load.select(F.col("x").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("centre"), F.col("x").alias("key"))
     rows = members.unionByName(centres).join(texts, "key").select("grp", "salt", "centre", "key", "text")
     dealt = rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.desc("centre"))
-    return dealt.mapInArrow(_confirm, "x long, y long")
+    return dealt.mapInArrow(_confirm, "x long, y long, j double, linked boolean")
+
+
+def _stars(labelled: DataFrame, n: int) -> DataFrame:
+    """One pair (x, y) for each node y in a bucket of several components: a hub x of another one.
+
+    A bucket's hub is its first node in an order that changes with the round; a node takes the first of
+    its hubs, so near copies meet at few hubs and make a pair each, however many bands they share. The
+    first round's order is by weight, the sizes of a node's buckets: in a group of copies with edits
+    of their own, the ones with the fewest edits come first.
+    """
+    order = -F.col("weight") if n == 0 else F.xxhash64("key", F.lit(n))
+    hubs = labelled.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.cast("long").alias("o"), "key", "label")).alias("hub")).where("lo < hi")
+    met = labelled.join(hubs.select("b", "hub"), "b").where("label <> hub.label")
+    return met.groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("hub.key").alias("x"), F.col("key").alias("y"))
+
+
+def _blocks(labelled: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Buckets of several components, dealt in blocks: (b, lo, hi, side, key, label, n, sketch, pivot, j).
+
+    The nodes of a bucket's largest component are not compared with one another, only with the rest.
+    """
+    per = labelled.groupBy("b", "label").agg(F.count("*").alias("c"))
+    mixed = per.groupBy("b").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where("labels > 1")
+    mixed = mixed.select("b", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("rests"))
+    marks = nodes.select("key", "n", "sketch").join(labelled.select("key").distinct(), "key", "left_semi").join(pivots, "key", "left")
+    rows = labelled.join(mixed, "b").join(marks, "key")
+    spot = F.xxhash64("key")
+    major = F.col("label") == F.col("top")
+    rows = rows.withColumn("side", F.when(major, -1 - F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("rests"))).cast("int"))
+    among = lambda j: F.struct(F.least("side", j).alias("lo"), F.greatest("side", j).alias("hi"))
+    to_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), among)
+    to_tops = F.transform(F.sequence(-F.col("tops"), F.lit(-1)), among)
+    rows = rows.withColumn("at", F.explode(F.when(major, to_rests).otherwise(F.concat(to_tops, to_rests))))
+    rows = rows.select("b", "at.lo", "at.hi", "side", "key", "label", "n", "sketch", "pivot", "j")
+    return rows.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
+
+
+def relabelled(tables: SharedTables, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(key, label) after joining the components that ``links`` connect."""
+    ends = links.join(labels.select(F.col("key").alias("x"), F.col("label").alias("lx")), "x").join(labels.select(F.col("key").alias("y"), F.col("label").alias("ly")), "y")
+    joined = ends.where("lx <> ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
+    moved = component_labels(tables, joined, name).select(F.col("key").alias("label"), F.col("label").alias("to"))
+    return tables.write(labels.join(moved, "label", "left").select("key", F.coalesce("to", "label").alias("label")), f"{name}_labels")
 
 
 class NearDuplicates:
@@ -204,27 +254,30 @@ class NearDuplicates:
         per_node = sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         nodes = t.write(per_node, "nodes")
         banded = nodes.select("key", F.explode("bands").alias("b"))
-        shared = banded.groupBy("b").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub < top").select("b", "hub")
-        members = t.write(banded.join(shared, "b").select("b", "hub", "key"), "members")
-        stars = t.write(members.where("key <> hub").select(F.col("hub").alias("x"), F.col("key").alias("y")).distinct(), "stars")
-        wanted = stars.select(F.col("x").alias("key")).union(stars.select(F.col("y").alias("key"))).distinct()
+        shared = banded.groupBy("b").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("b")
+        found = t.write(banded.join(shared, "b").select("b", "key"), "found")
+        sizes = found.groupBy("b").agg(F.count("*").alias("c"))
+        weights = found.join(sizes, "b").groupBy("key").agg(F.sum("c").alias("weight"))
+        members = t.write(found.join(weights, "key"), "members")
+        wanted = members.select("key").distinct()
         reps = nodes.select("key", "rep").join(wanted, "key")
         texts = t.write(source.join(reps, source["doc_id"].eqNullSafe(reps["rep"])).select("key", "text"), "texts", "zstd")
         release_shuffles(spark)
-        links = t.write(confirmed(stars, texts), "links")
-        labels = component_labels(t, links, "first")
-        marked_members = members.select("b", "key").join(labels, "key", "left").select("b", "key", F.coalesce("label", "key").alias("label"))
-        mixed = marked_members.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-        mixed = mixed.select("b", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-        rest = marked_members.join(mixed, "b").join(nodes.select("key", "n", "sketch"), "key")
-        rest = rest.withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rest = rest.select("b", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "key", "label", "n", "sketch")
-        dealt = rest.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
-        pairs = t.write(dealt.mapInArrow(_compare_block, "x long, y long").distinct(), "pairs")
-        if pairs.limit(1).count():
-            more = t.write(confirmed(pairs, texts), "more_links")
-            labels = component_labels(t, links.unionByName(more), "second")
-        for name in ("stars", "texts", "members", "pairs"):
+        labels = t.write(wanted.select("key", F.col("key").alias("label")), "labels")
+        for n in range(STAR_ROUNDS):
+            stars = t.write(_stars(members.join(labels, "key"), n), f"stars{n}")
+            compared = t.write(confirmed(stars, texts), f"compared{n}")
+            links = compared.where("linked").select("x", "y")
+            found = links.count()
+            if found:
+                labels = relabelled(t, labels, links, f"round{n}")
+            if LEAST_YIELD * found < stars.count():
+                break
+        pivots = spark.read.parquet(t.path("compared0")).select(F.col("y").alias("key"), F.col("x").alias("pivot"), "j").dropDuplicates(["key"]) if STAR_ROUNDS else labels.select("key", F.col("key").alias("pivot"), F.lit(1.0).alias("j"))
+        pairs = t.write(_blocks(members.join(labels, "key"), nodes, pivots).mapInArrow(_compare_block, "x long, y long").distinct(), "pairs")
+        if not pairs.isEmpty():
+            labels = relabelled(t, labels, t.write(confirmed(pairs, texts), "more").where("linked").select("x", "y"), "last")
+        for name in ("texts", "found", "members", "pairs"):
             t.drop(name)
         named = nodes.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
