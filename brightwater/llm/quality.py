@@ -13,6 +13,11 @@ in a long clean text. A document is rejected if either is over its language's th
 ``QUANTILE`` of the trusted documents of that language that training left out (one in ``HOLD_OUT`` by
 hash; all trusted ones if fewer than ``LEAST_HELD`` were left out).
 
+The peak is a maximum over words, so its threshold goes by their number. Up to the mean of trusted
+documents it is that quantile. With n times as many words, a word may pass it n times less often:
+the peaks (nats per byte) over the ``TAIL`` quantile of trusted documents give their mean excess, and
+the threshold rises by that times ln(n), as in an exponential tail.
+
 Scoring. The model goes to the executors in blocks of at most ``MODEL_ROWS`` rows (about 200 MB of
 tables): whole languages together while they fit, each document being scored in its language's block.
 A language that is larger by itself is split by the byte before the predicted one, which is the same
@@ -42,6 +47,7 @@ from .common import SharedTables, blocks_of, mix64
 ORDER = 5
 PEAK_BYTES = 4
 QUANTILE = 0.99
+TAIL = 0.8
 HOLD_OUT, LEAST_HELD = 4, 50
 MODEL_ROWS = 6_000_000
 TRUSTED_IDS = 4_000_000
@@ -145,6 +151,10 @@ class Scorer:
         return float(s.sum()), sums[word], sizes[word]
 
 
+def long_words(sizes: np.ndarray) -> int:
+    return int((sizes >= PEAK_BYTES).sum())
+
+
 def peak_of(sums: np.ndarray, sizes: np.ndarray) -> float:
     long = sizes >= PEAK_BYTES
     return float((sums[long] / sizes[long]).max()) if long.any() else 0.0
@@ -290,7 +300,7 @@ def load_block(model: DataFrame, langs: list[str], previous: frozenset[int] | No
     return {name: (cols[0][lang == i], cols[1][lang == i].view(np.uint64), cols[2][lang == i], cols[3][lang == i]) for i, name in enumerate(names)}
 
 
-SCORES = "doc_id long, lang string, n_bytes long, nats double, peak double, sums array<double>, sizes array<int>, mark long"
+SCORES = "doc_id long, lang string, n_bytes long, nats double, peak double, words long, sums array<double>, sizes array<int>, mark long"
 _scorers: dict[str, dict[str, Scorer]] = {}
 
 
@@ -305,30 +315,30 @@ def _score_partition(shared, previous: frozenset[int] | None):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if not text or lang not in scorers:
-                        row = (len(text_bytes(text or "")), None, None, None, None)
+                        row = (len(text_bytes(text or "")), None, None, None, None, None)
                     else:
                         total, sums, sizes = scorers[lang].words(text)
                         whole = previous is None
-                        row = (len(text_bytes(text)), total, peak_of(sums, sizes) if whole else None, None if whole else sums, None if whole else sizes.astype(np.int32))
+                        row = (len(text_bytes(text)), total, peak_of(sums, sizes) if whole else None, long_words(sizes), None if whole else sums, None if whole else sizes.astype(np.int32))
                     for to, v in zip(out, row, strict=True):
                         to.append(v)
-                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)], part.column(3)], ["doc_id", "lang", "n_bytes", "nats", "peak", "sums", "sizes", "mark"])
+                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)], part.column(3)], ["doc_id", "lang", "n_bytes", "nats", "peak", "words", "sums", "sizes", "mark"])
 
     return run
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes, nats, peak (in nats per byte), mark: one row per document."""
+    """doc_id, lang, n_bytes, nats, peak (in nats per byte), words (those that can be the peak), mark: one row per document."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("mark"))
     blocks = list(model_blocks(model))
     parts, covered = [], []
     split: dict[str, list[DataFrame]] = {}
-    plain = ["doc_id", "lang", "n_bytes", "nats", "peak", "mark"]
+    plain = ["doc_id", "lang", "n_bytes", "nats", "peak", "words", "mark"]
     if len(blocks) == 1 and blocks[0][1] is None:  # the usual case: one pass over everything
         shared = spark.sparkContext.broadcast(load_block(model, *blocks[0]))
         return rows.mapInArrow(_score_partition(shared, None), SCORES).select(*plain)
@@ -346,9 +356,9 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
             every = every.unionByName(more)
         # copies of a row share its mark: their sums come several times and are averaged out
         add = "transform(sequence(0, size(sizes) - 1), i -> aggregate(every, 0D, (a, s) -> a + s[i]) / copies)"
-        merged = every.groupBy("doc_id", "lang", "mark").agg(F.max("n_bytes").alias("n_bytes"), F.sum("nats").alias("nats"), F.collect_list("sums").alias("every"), F.first("sizes", ignorenulls=True).alias("sizes"), (F.count("*") / len(passes)).alias("copies"))
+        merged = every.groupBy("doc_id", "lang", "mark").agg(F.max("n_bytes").alias("n_bytes"), F.sum("nats").alias("nats"), F.max("words").alias("words"), F.collect_list("sums").alias("every"), F.first("sizes", ignorenulls=True).alias("sizes"), (F.count("*") / len(passes)).alias("copies"))
         worst = f"CASE WHEN size(sizes) > 0 THEN coalesce(array_max(zip_with({add}, sizes, (s, n) -> CASE WHEN n >= {PEAK_BYTES} THEN s / n END)), 0D) WHEN nats IS NOT NULL THEN 0D END"
-        merged = merged.select("doc_id", "lang", "n_bytes", (F.col("nats") / F.col("copies")).alias("nats"), F.expr(worst).alias("peak"), "mark", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+        merged = merged.select("doc_id", "lang", "n_bytes", (F.col("nats") / F.col("copies")).alias("nats"), F.expr(worst).alias("peak"), "words", "mark", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
         parts.append(merged.select(*plain))
     rest = rows.where(~F.col("lang").isin(covered)) if covered else rows
     empty = spark.sparkContext.broadcast({})
@@ -359,6 +369,15 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     return out
 
 
+def limits_of(held: DataFrame, quantile: float) -> DataFrame:
+    """lang, perplexity_limit, peak_base, spread, mean_words: the thresholds that the scores of trusted documents give."""
+    at = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(20000))
+    per = held.groupBy("lang").agg(at("perplexity", quantile).alias("perplexity_limit"), at("peak", quantile).alias("peak_base"), at("peak", min(TAIL, quantile)).alias("u"), F.greatest(F.avg("words"), F.lit(1.0)).alias("mean_words"))
+    over = held.join(F.broadcast(per.select("lang", "u")), "lang").where("peak > u")  # a row per language
+    spread = over.groupBy("lang").agg(F.avg(F.col("peak") - F.col("u")).alias("spread"))
+    return per.join(spread, "lang", "left").select("lang", "perplexity_limit", "peak_base", F.coalesce("spread", F.lit(0.0)).alias("spread"), "mean_words")
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """One row per document: doc_id, lang, n_bytes, perplexity, peak, their limits, kept, mark."""
     tables = SharedTables(docs.sparkSession, "quality")
@@ -369,14 +388,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     for order in range(1, ORDER + 1):
         tables.drop(f"grams{order}")
         tables.drop(f"probs{order}")
-    scored = scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes")))).withColumn("peak", F.when(F.col("n_bytes") > 0, F.exp("peak")))
+    scored = scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes"))))
     good = scored.where("perplexity IS NOT NULL").join(trusted, "doc_id", "left_semi").withColumn("out", left_out(F.col("doc_id")))
-    limit = lambda c, when=None: F.percentile_approx(F.when(when, F.col(c)) if when is not None else F.col(c), F.lit(quantile), F.lit(20000))
-    out = F.col("out")
-    per = good.groupBy("lang").agg(F.sum(out.cast("int")).alias("held"), limit("perplexity", out).alias("a"), limit("peak", out).alias("b"), limit("perplexity").alias("c"), limit("peak").alias("d"))
-    enough = F.col("held") >= LEAST_HELD
-    limits = per.select("lang", F.when(enough, F.col("a")).otherwise(F.col("c")).alias("perplexity_limit"), F.when(enough, F.col("b")).otherwise(F.col("d")).alias("peak_limit"))
-    judged = scored.join(limits, "lang", "left")
+    held = good.groupBy("lang").agg(F.sum(F.col("out").cast("int")).alias("held"))
+    limits = limits_of(good.join(F.broadcast(held), "lang").where(F.col("out") | (F.col("held") < LEAST_HELD)), quantile)  # a row per language
+    judged = scored.join(limits, "lang", "left").withColumn("peak_limit", F.col("peak_base") + F.col("spread") * F.log(F.greatest(F.col("words") / F.col("mean_words"), F.lit(1.0))))
+    judged = judged.withColumn("peak", F.when(F.col("n_bytes") > 0, F.exp("peak"))).withColumn("peak_limit", F.exp("peak_limit"))
     kept = F.coalesce((F.col("perplexity") <= F.col("perplexity_limit")) & (F.col("peak") <= F.col("peak_limit")), F.lit(True))
     named = F.when(F.col("lang") != NO_LANG, F.col("lang"))
     return judged.select("doc_id", named.alias("lang"), "n_bytes", "perplexity", "peak", "perplexity_limit", "peak_limit", kept.alias("kept"), "mark")

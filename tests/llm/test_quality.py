@@ -117,3 +117,19 @@ def test_empty_tables(spark):
     assert ql.classify(empty, none).count() == 0
     rows, _ = rows_and_labels()
     assert ql.classify(spark.createDataFrame(rows, plain.SCHEMA), none).where("NOT kept").count() == 0
+
+
+def test_very_long_clean_documents_stay(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 11))) for _ in range(20000)]
+    weights = [1 / (i + 10) for i in range(len(vocabulary))]
+
+    def prose(n):
+        return " ".join(rng.choices(vocabulary, weights, k=n))
+
+    rows = [(i, prose(rng.randrange(20, 100)), "en", "s", None) for i in range(600)]
+    rows += [(1000 + i, prose(6000), "en", "s", None) for i in range(20)]
+    docs, lab = spark.createDataFrame(rows, plain.SCHEMA), spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in ql.classify(docs, lab).collect()}
+    assert sum(kept[1000 + i] for i in range(20)) >= 18
+    assert sum(kept[i] for i in range(600)) >= 585
