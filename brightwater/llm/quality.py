@@ -11,7 +11,9 @@ A document's perplexity is exp of its mean negative log probability per byte; it
 over its worst word of ``PEAK_BYTES`` bytes or more, which a single insult or junk token raises even
 in a long clean text. A document is rejected if either is over its language's threshold: the
 ``QUANTILE`` of the trusted documents of that language that training left out (one in ``HOLD_OUT`` by
-hash; all trusted ones if fewer than ``LEAST_HELD`` were left out).
+hash). Where these are fewer than ``LEAST_HELD``, each of the ``HOLD_OUT`` parts is scored by a model of
+the others, and the threshold comes from all of them; with fewer than ``LEAST_HELD`` of these as well
+there is none and the language's documents are kept.
 
 The peak is a maximum over words, so its threshold goes by their number. Up to the mean of trusted
 documents it is that quantile. With n times as many words, a word may pass it n times less often:
@@ -28,7 +30,7 @@ Trusted ids meet the texts by a broadcast set only up to ``TRUSTED_IDS`` ids (a
 by a join.
 
 Cases. Null or empty text: perplexity null, kept. A language (or null) without trusted text: no
-model, perplexity null, kept. Repeated rows: a row each; a trusted id counts all rows that bear it.
+model, perplexity null, kept. One with too little of it: limits null, kept. Repeated rows: a row each; a trusted id counts all rows that bear it.
 No labels: all kept. Extra columns are ignored.
 """
 
@@ -167,8 +169,12 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "q
     return per.where("q = 1 AND t = 0").select("doc_id")
 
 
+def fold(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(HOLD_OUT)).cast("int")
+
+
 def left_out(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(HOLD_OUT)) == 0
+    return fold(doc_id) == 0
 
 
 COUNTS = "lang string, key long, n long"
@@ -225,6 +231,11 @@ def train(tables: SharedTables, docs: DataFrame, trusted: DataFrame) -> DataFram
         counted = rows.mapInArrow(_count_partition(ids), COUNTS)
     else:
         counted = rows.join(learn, "doc_id", "left_semi").mapInArrow(_count_partition(None), COUNTS)
+    return fit(tables, counted)
+
+
+def fit(tables: SharedTables, counted: DataFrame) -> DataFrame:
+    """The model of counted ``ORDER``-grams (``COUNTS``)."""
     grams = {ORDER: tables.write(counted.groupBy("lang", "key").agg(F.sum("n").alias("c")), f"grams{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
         low = F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1))
@@ -372,12 +383,24 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 def limits_of(held: DataFrame, quantile: float) -> DataFrame:
     """lang, perplexity_limit, peak_base, spread, mean_words: the thresholds that the scores of trusted documents give."""
     at = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(20000))
-    per = held.groupBy("lang").agg(at("perplexity", quantile).alias("perplexity_limit"), at("peak", quantile).alias("peak_base"), at("peak", min(TAIL, quantile)).alias("u"), F.greatest(F.avg("words"), F.lit(1.0)).alias("mean_words"))
+    per = held.groupBy("lang").agg(F.count("*").alias("held"), at("perplexity", quantile).alias("perplexity_limit"), at("peak", quantile).alias("peak_base"), at("peak", min(TAIL, quantile)).alias("u"), F.greatest(F.avg("words"), F.lit(1.0)).alias("mean_words")).where(F.col("held") >= LEAST_HELD)
     over = held.join(F.broadcast(per.select("lang", "u")), "lang").where("peak > u")  # a row per language
     spread = over.groupBy("lang").agg(F.avg(F.col("peak") - F.col("u")).alias("spread"))
     return per.join(spread, "lang", "left").select("lang", "perplexity_limit", "peak_base", F.coalesce("spread", F.lit(0.0)).alias("spread"), "mean_words")
 
 
+def cross_scores(docs: DataFrame, trusted: DataFrame, langs: list[str]) -> DataFrame:
+    """Like ``score`` for the trusted documents of ``langs`` outside of part 0, each by a model of the other parts."""
+    tables = SharedTables(docs.sparkSession, "quality-parts")
+    rows = docs.where(F.col("lang").isin(langs) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).join(trusted, "doc_id", "left_semi")
+    rows = tables.write(rows.select("doc_id", "text", "lang", fold(F.col("doc_id")).alias("part")), "rows")
+    named = lambda part: F.concat("lang", F.lit(NO_LANG), part.cast("string"))
+    others = rows.select("*", F.explode(F.array(*[F.lit(i) for i in range(1, HOLD_OUT)])).alias("model")).where("model <> part")
+    model = fit(tables, others.select("doc_id", "text", named(F.col("model")).alias("lang")).mapInArrow(_count_partition(None), COUNTS))
+    found = score(rows.where("part > 0").select("doc_id", "text", named(F.col("part")).alias("lang")), model)
+    return found.withColumn("lang", F.expr(f"left(lang, length(lang) - {1 + len(str(HOLD_OUT - 1))})"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """One row per document: doc_id, lang, n_bytes, perplexity, peak, their limits, kept, mark."""
     tables = SharedTables(docs.sparkSession, "quality")
@@ -388,10 +411,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     for order in range(1, ORDER + 1):
         tables.drop(f"grams{order}")
         tables.drop(f"probs{order}")
-    scored = scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes"))))
+    perplexity = F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes")))
+    scored = scored.withColumn("perplexity", perplexity)
     good = scored.where("perplexity IS NOT NULL").join(trusted, "doc_id", "left_semi").withColumn("out", left_out(F.col("doc_id")))
-    held = good.groupBy("lang").agg(F.sum(F.col("out").cast("int")).alias("held"))
-    limits = limits_of(good.join(F.broadcast(held), "lang").where(F.col("out") | (F.col("held") < LEAST_HELD)), quantile)  # a row per language
+    unseen = good.where("out").select("lang", "perplexity", "peak", "words")
+    few = good.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("out").cast("int")).alias("held")).where((F.col("held") < LEAST_HELD) & (F.col("n") >= LEAST_HELD))
+    if langs := [r["lang"] for r in few.collect()]:  # a row per language
+        more = tables.write(cross_scores(rows, trusted, langs), "more").withColumn("perplexity", perplexity)
+        unseen = unseen.unionByName(more.where("perplexity IS NOT NULL").select("lang", "perplexity", "peak", "words"))
+    limits = limits_of(unseen, quantile)
     judged = scored.join(limits, "lang", "left").withColumn("peak_limit", F.col("peak_base") + F.col("spread") * F.log(F.greatest(F.col("words") / F.col("mean_words"), F.lit(1.0))))
     judged = judged.withColumn("peak", F.when(F.col("n_bytes") > 0, F.exp("peak"))).withColumn("peak_limit", F.exp("peak_limit"))
     kept = F.coalesce((F.col("perplexity") <= F.col("perplexity_limit")) & (F.col("peak") <= F.col("peak_limit")), F.lit(True))

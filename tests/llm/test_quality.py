@@ -133,3 +133,30 @@ def test_very_long_clean_documents_stay(spark):
     kept = {r["doc_id"]: r["kept"] for r in ql.classify(docs, lab).collect()}
     assert sum(kept[1000 + i] for i in range(20)) >= 18
     assert sum(kept[i] for i in range(600)) >= 585
+
+
+def test_limits_come_from_unseen_documents(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 11))) for _ in range(3000)]
+
+    def prose():
+        return " ".join(rng.choices(vocabulary, k=rng.randrange(20, 60)))
+
+    rows = [(i, prose(), "en", "s", None) for i in range(300)] + [(1000 + i, prose(), "fr", "s", None) for i in range(60)]
+    labels = [(i, 1, 0) for i in range(120)] + [(1000, 1, 0), (1001, 1, 0)]
+    docs, lab = spark.createDataFrame(rows, plain.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in ql.classify(docs, lab).collect()}
+    assert all(got[1000 + i]["kept"] and got[1000 + i]["peak_limit"] is None for i in range(60))
+    assert len({r["perplexity_limit"] for i, r in got.items() if i < 300}) == 1
+    # the limit is the quantile of the scores that plain models of the other parts give
+    trusted = spark.createDataFrame([(i,) for i in range(120)], "doc_id long")
+    part = {r[0]: r[1] for r in trusted.select("doc_id", ql.fold(trusted["doc_id"])).collect()}
+    assert sum(p == 0 for p in part.values()) < ql.LEAST_HELD
+    scores = []
+    for p in range(ql.HOLD_OUT):
+        prob = brute(rows[:300], {i for i in part if part[i] != p})["en"]
+        for i in [i for i in part if part[i] == p]:
+            data = bytes(ql.padded(rows[i][1]))
+            s = [-math.log(prob(data[:k], data[k])) for k in range(ql.ORDER - 1, len(data))]
+            scores.append(math.exp(sum(s) / len(s)))
+    assert got[0]["perplexity_limit"] == pytest.approx(sorted(scores)[math.ceil(0.99 * 120) - 1], rel=1e-3)
