@@ -8,6 +8,8 @@ unwrapped in turn until nothing new comes up. A layer seen before at the same pl
 (cycles end). Every layer keeps, for each of its characters, the start and end in the original text,
 so a finding in any depth maps to a span of the original, in code points, end exclusive.
 
+A cut stream is scanned as far as it goes, and further members of a stream are read.
+
 Bound: a stream is inflated to ``MOST_INFLATED`` bytes at most and a longer one is left as it is; all
 else is complete.
 
@@ -125,18 +127,25 @@ def _escapes(layer: Layer, begin: int, end: int) -> Layer:
 
 
 def inflate(data: bytes) -> bytes | None:
-    """A whole zlib or gzip stream, inflated; None if it is none or too long."""
+    """The zlib or gzip streams at the start, inflated, a cut one as far as it goes; None if there is none or they are too long."""
     if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
         return None
-    d = zlib.decompressobj(47)
-    try:
-        out = d.decompress(data, MOST_INFLATED)
-    except zlib.error:
-        return None
-    return out if d.eof else None
+    out = b""
+    while data:  # a member after the other
+        d = zlib.decompressobj(47)
+        try:
+            out += d.decompress(data, MOST_INFLATED + 1 - len(out))
+        except zlib.error:
+            break
+        if len(out) > MOST_INFLATED:
+            return None
+        if not d.eof:
+            break
+        data = d.unused_data
+    return out or None
 
 
-def _base64(layer: Layer, begin: int, end: int) -> Layer | None:
+def _base64(layer: Layer, begin: int, end: int) -> Iterator[Layer]:
     run = layer.text[begin:end]
     core = run.rstrip("=")
     if len(core) % 4 == 1:
@@ -144,26 +153,23 @@ def _base64(layer: Layer, begin: int, end: int) -> Layer | None:
     try:
         data = base64.b64decode(core.replace("-", "+").replace("_", "/") + "=" * (-len(core) % 4), validate=True)
     except binascii.Error:
-        return None
+        return
     whole = layer.span(begin, end)
     open_up = inflate(data)
     streams: set[bytes] = set()
     while open_up is not None and open_up not in streams:  # compressed more than once
         streams.add(open_up)
-        data, open_up = open_up, inflate(open_up)
-    if streams:
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-        return Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
+        text = open_up.decode("utf-8", "replace")
+        yield Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
+        open_up = inflate(open_up)
     if any(c < 9 or 13 < c < 32 for c in data[:64]):
-        return None  # no text
+        return  # no text
     parts = []
     for i in range(len(data)):
         b = begin + i // 3 * 4 + i % 3
         parts.append((data[i : i + 1], *layer.span(b, min(b + 2, begin + len(core)))))
-    return _utf8_layer(parts)
+    if (x := _utf8_layer(parts)) is not None:  # text may begin like a stream
+        yield x
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -177,8 +183,7 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         for m in ESCAPED.finditer(text):
             yield _escapes(layer, m.start(), m.end())
     for m in BASE64.finditer(text):
-        if (x := _base64(layer, m.start(), m.end())) is not None:
-            yield x
+        yield from _base64(layer, m.start(), m.end())
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

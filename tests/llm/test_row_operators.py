@@ -86,6 +86,14 @@ def test_secrets_in_layers():
     assert hidden("no secrets in %41%42 or QUJDREVGR0hJSktMTU5P here") == []
 
 
+def test_secrets_in_further_members_and_cut_streams():
+    secret = b"token=abcdefgh12345678 "
+    two = base64.b64encode(gzip.compress(b"nothing here") + gzip.compress(secret)).decode().rstrip("=")
+    assert len(hidden(f"({two})")) == 1
+    cut = base64.b64encode(gzip.compress(secret + b"and more")[:-6]).decode().rstrip("=")
+    assert len(hidden(f"({cut})")) == 1
+
+
 def test_cycles_end():
     text = "%25"
     for _ in range(12):
