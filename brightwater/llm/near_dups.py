@@ -11,21 +11,27 @@ certain, and matching coordinates concentrate around the similarity. ``BANDS`` b
 coordinates: two sets at the threshold share no band with probability under 3e-6, and less above it.
 The other coordinates sharpen estimates.
 
-Equal sets are one node (the 64-bit hash of the set). Nodes that share a band value are compared:
+Equal sets are one node: sets meet by a 64-bit hash and are told apart by 64 more bits (``_node_table``).
+Nodes that share a band value are compared:
 
 1. in rounds, each node of a bucket that holds several components with one hub of another of them, a
    star, so a round confirms at most one pair per node; components are joined, and rounds go on
    with other hubs while one pair in ``LEAST_YIELD`` is a link (``STAR_ROUNDS`` at most);
 2. in buckets that still hold several components, nodes of different components in blocks of bounded
-   size, by sketch; pairs whose sketches agree in at least ``LEAST_MATCHES`` coordinates (five
-   standard deviations under the threshold), whose sizes allow the threshold, and whose similarities
-   to a common hub do (the triangle inequality), are confirmed on the full sets. No bucket is capped.
+   size. First by sketch: a node is flagged if another node of its block, of another component, agrees
+   with it in at least ``LEAST_MATCHES`` coordinates (five standard deviations under the threshold),
+   the sizes allow the threshold, and so do their similarities to a common hub (the triangle
+   inequality). Then the texts of flagged nodes come to their blocks, every pair of different
+   components is counted on the full sets, and a block gives out only links that join two of its
+   components: at most one per component, however many pairs it compares. No bucket is capped.
 
 Texts move once, to find those of candidate nodes; confirmations group them by the star's centre in
-salted groups of bounded size. Components are DataFrame iterations; nothing but counts reaches the
-driver.
+salted groups of bounded size. Both sides of the joins by bucket, hub and label are written tables, so
+adaptive execution can split a hot key. Components are DataFrame iterations; nothing but counts
+reaches the driver.
 
-Cases. Null or empty text, or text without words: n_shingles 0, linked with nothing. Repeated rows
+Cases. Null or empty text, or text without words: n_shingles 0, linked with nothing. Very long texts
+are taken whole; blocks are cut by shingles as well as by nodes, so they stay bounded. Repeated rows
 and exact copies: linked. Null doc_id: takes part; the smallest non-null id names the component (null
 if there is none). Empty table: empty result. Extra columns are ignored.
 """
@@ -46,7 +52,7 @@ from .graph_labels import component_labels
 SHINGLE = 5
 COORDS, ROWS, BANDS = 480, 5, 48
 LEAST_MATCHES = 313
-STAR_GROUP, BLOCK = 256, 512
+STAR_GROUP, BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 20
 STAR_ROUNDS, LEAST_YIELD = 8, 20
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -65,6 +71,21 @@ def set_key(shingles: np.ndarray) -> int | None:
     return int(np.uint64(xxh3_64_intdigest(shingles.tobytes())).view(np.int64)) if len(shingles) else None
 
 
+def set_check(shingles: np.ndarray) -> int | None:
+    """64 more bits, independent of the key."""
+    return int(np.uint64(xxh3_64_intdigest(shingles.tobytes(), 1)).view(np.int64)) if len(shingles) else None
+
+
+def apart_key(key: int, check: int) -> int:
+    """The node of a set whose key another set has already."""
+    return int(mix64(np.array([key], np.int64).view(np.uint64) ^ mix64(np.array([check], np.int64).view(np.uint64)))[0].view(np.int64))
+
+
+def is_node(shingles: np.ndarray, key: int) -> bool:
+    own = set_key(shingles)
+    return own == key or (own is not None and apart_key(own, set_check(shingles)) == key)
+
+
 def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     """One row of ``coords`` filled coordinates per set (rows of empty sets stay unfilled)."""
     n = len(sets)
@@ -101,7 +122,7 @@ def sketch_bytes(rows: np.ndarray) -> np.ndarray:
     return (mix64(rows) >> _U(56)).astype(np.uint8)
 
 
-SKETCHED = "doc_id long, mark long, n_shingles long, key long, bands array<long>, sketch binary"
+SKETCHED = "doc_id long, mark long, n_shingles long, key long, check long, bands array<long>, sketch binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,10 +141,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b.column(2).slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) for s in sets], pa.int64()),
+                    pa.array([set_check(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[np.array(filled)].ravel())),
                     pa.array([m.tobytes() if f else None for m, f in zip(marks, filled, strict=True)], pa.binary()),
                 ],
-                ["doc_id", "mark", "n_shingles", "key", "bands", "sketch"],
+                ["doc_id", "mark", "n_shingles", "key", "check", "bands", "sketch"],
             )
 
 
@@ -135,7 +157,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys, js, linked = [], [], [], []
         for g, s, c, k, t in zip(grp, salt, is_centre, key, byte_texts(b.column(4)), strict=True):
             own = shingle_set(t)
-            if set_key(own) != k:
+            if not is_node(own, k):
                 continue  # another text under the same id
             if c:
                 at, centre = (g, s), own
@@ -146,22 +168,32 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(js, pa.float64()), pa.array(linked, pa.bool_())], ["x", "y", "j", "linked"])
 
 
-def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, lo, hi, side, key, label, n, sketch, pivot, j) sorted by (b, lo, hi), to candidate pairs."""
-    held: list[tuple] = []
-    at = None
+def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows whose first three columns (b, lo, hi) name their block and come sorted by it: (block, rows) one by one."""
+    at, held = None, []
+    for batch in batches:
+        for bb, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True):
+            if (bb, lo, hi) != at:
+                if held:
+                    yield at, held
+                at, held = (bb, lo, hi), []
+            held.append(tuple(row))
+    if held:
+        yield at, held
+
+
+FLAGGED = "b long, lo int, hi int, key long, label long"
 
-    def pairs() -> Iterator[tuple[int, int]]:
-        if len(held) < 2:
-            return
-        side = np.array([h[0] for h in held])
-        key = np.array([h[1] for h in held])
-        label = np.array([h[2] for h in held])
-        n = np.array([h[3] for h in held], np.int64)
+
+def _flag_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, lo, hi, side, key, label, n, sketch, pivot, j) to the nodes that may have a link in their block."""
+    for at, held in _grouped(batches, 10):
+        side, key, label, n = (np.array([h[i] for h in held], np.int64) for i in range(4))
         marks = np.frombuffer(b"".join([h[4] for h in held]), np.uint8).reshape(len(held), -1)
-        pivot = np.array([h[5] if h[5] is not None else h[1] for h in held])
+        pivot = np.array([h[5] if h[5] is not None else h[1] for h in held], np.int64)
         near = np.array([h[6] if h[6] is not None else 1.0 for h in held])
         within = at[1] == at[2]
+        flag = np.zeros(len(held), bool)
         for i in range(len(held) - 1):
             rest = slice(i + 1, None)
             ok = (label[rest] != label[i]) & (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i]))
@@ -171,26 +203,56 @@ def _compare_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 ok &= side[rest] != side[i]
             other = np.flatnonzero(ok) + i + 1
             if len(other):
-                for j in other[(marks[other] == marks[i]).sum(1) >= LEAST_MATCHES]:
-                    yield (int(min(key[i], key[j])), int(max(key[i], key[j])))
-
-    def flush() -> pa.RecordBatch:
-        found = sorted(set(pairs()))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["x", "y"])
-
-    for b in batches:
-        for bb, lo, hi, *row in zip(*(b.column(i).to_pylist() for i in range(10)), strict=True):
-            if (bb, lo, hi) != at:
-                yield flush()
-                held.clear()
-                at = (bb, lo, hi)
-            held.append(tuple(row))
-    yield flush()
+                other = other[(marks[other] == marks[i]).sum(1) >= LEAST_MATCHES]
+                flag[other] = True
+                flag[i] |= bool(len(other))
+        some = np.flatnonzero(flag)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(some), pa.int64()), pa.array([at[1]] * len(some), pa.int32()), pa.array([at[2]] * len(some), pa.int32()), pa.array(key[some]), pa.array(label[some])], ["b", "lo", "hi", "key", "label"])
+
+
+def joining_links(keys: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs at the threshold that join components: all pairs of different components are counted, a forest comes out."""
+    up = {x: x for x in labels}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    _, words = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    own = np.zeros(int(words.max()) + 1, np.int64)
+    out = []
+    for i in range(1, len(sets)):
+        mine = words[begin[i] : begin[i + 1]]
+        own[mine] = 1
+        common = np.add.reduceat(own[words[: begin[i]]], begin[:i])  # no set is empty
+        own[mine] = 0
+        for j in np.flatnonzero(100 * common >= 75 * (sizes[:i] + sizes[i] - common)).tolist():
+            a, b = top(labels[i]), top(labels[j])
+            if a != b:
+                up[a] = b
+                out.append((keys[j], keys[i]))
+    return out
+
+
+def _join_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (b, lo, hi, key, label, text) sorted by block, to the links (x, y) that join components of a block."""
+    for _, held in _grouped(batches, 6):
+        rows = [(k, label, s) for k, label, t in held if is_node(s := shingle_set(t.encode() if t else None), k)]
+        rows = list({r[0]: r for r in rows}.values())  # rows of one id and text come once
+        if len({r[1] for r in rows}) > 1:
+            found = joining_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["x", "y"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(tables: SharedTables, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """Candidate pairs (x, y) with their similarity j on the full sets of ``texts`` (key, text), and linked."""
-    load = pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR_GROUP).cast("int").alias("salts"))
+    load = tables.write(pairs.groupBy("x").agg(F.ceil(F.count("*") / STAR_GROUP).cast("int").alias("salts")), f"{name}_load")
     members = pairs.join(load, "x").select(F.col("x").alias("grp"), F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("centre"), F.col("y").alias("key"))
     centres = load.select(F.col("x").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("centre"), F.col("x").alias("key"))
     rows = members.unionByName(centres).join(texts, "key").select("grp", "salt", "centre", "key", "text")
@@ -198,7 +260,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_confirm, "x long, y long, j double, linked boolean")
 
 
-def _stars(labelled: DataFrame, n: int) -> DataFrame:
+def _stars(tables: SharedTables, labelled: DataFrame, n: int) -> DataFrame:
     """One pair (x, y) for each node y in a bucket of several components: a hub x of another one.
 
     A bucket's hub is its first node in an order that changes with the round; a node takes the first of
@@ -208,20 +270,22 @@ def _stars(labelled: DataFrame, n: int) -> DataFrame:
     """
     order = -F.col("weight") if n == 0 else F.xxhash64("key", F.lit(n))
     hubs = labelled.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(order.cast("long").alias("o"), "key", "label")).alias("hub")).where("lo < hi")
-    met = labelled.join(hubs.select("b", "hub"), "b").where("label <> hub.label")
+    met = labelled.join(tables.write(hubs.select("b", "hub"), f"hubs{n}"), "b").where("label <> hub.label")
     return met.groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("hub.key").alias("x"), F.col("key").alias("y"))
 
 
-def _blocks(labelled: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataFrame:
+def _blocks(tables: SharedTables, labelled: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataFrame:
     """Buckets of several components, dealt in blocks: (b, lo, hi, side, key, label, n, sketch, pivot, j).
 
     The nodes of a bucket's largest component are not compared with one another, only with the rest.
     """
-    per = labelled.groupBy("b", "label").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("b").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all")).where("labels > 1")
-    mixed = mixed.select("b", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("rests"))
     marks = nodes.select("key", "n", "sketch").join(labelled.select("key").distinct(), "key", "left_semi").join(pivots, "key", "left")
-    rows = labelled.join(mixed, "b").join(marks, "key")
+    weighed = labelled.join(nodes.select("key", "n"), "key")
+    per = weighed.groupBy("b", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    mixed = per.groupBy("b").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label", "w")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("labels > 1")
+    parts = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("b", F.col("top.label").alias("top"), parts(F.col("top.c"), F.col("top.w")).alias("tops"), parts(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("rests"))
+    rows = labelled.join(tables.write(mixed, "mixed"), "b").join(marks, "key")
     spot = F.xxhash64("key")
     major = F.col("label") == F.col("top")
     rows = rows.withColumn("side", F.when(major, -1 - F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("rests"))).cast("int"))
@@ -233,6 +297,37 @@ def _blocks(labelled: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataFra
     return rows.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
 
 
+def block_links(tables: SharedTables, blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (x, y) that join components inside of blocks: flagged by sketch, confirmed on the full sets."""
+    flagged = tables.write(blocks.mapInArrow(_flag_block, FLAGGED), "flagged")
+    rows = flagged.join(texts, "key").select("b", "lo", "hi", "key", "label", "text")
+    dealt = rows.repartition("b", "lo", "hi").sortWithinPartitions("b", "lo", "hi")
+    return tables.write(dealt.mapInArrow(_join_block, "x long, y long"), "joining")
+
+
+def _node_table(tables: SharedTables, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sketched`` and its nodes (key, rep, n, bands, sketch), every set with a key of its own.
+
+    Where sets share a key, all but one get another; a pair of sets in 10^19 does.
+    """
+    for n in range(8):
+        checks = [F.min("check").alias("check"), F.max("check").alias("last")]
+        per_node = sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), *checks)
+        nodes = tables.write(per_node, f"nodes{n}")
+        shared = nodes.where("check <> last").select("key", F.col("check").alias("first"))
+        if shared.isEmpty():
+            return sketched, nodes
+
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = [k if first is None or first == check else apart_key(k, check) for k, check, first in zip(*(b.column(c).to_pylist() for c in ("key", "check", "first")), strict=True)]
+                yield b.set_column(b.schema.get_field_index("key"), "key", pa.array(keys, pa.int64())).select(names)
+
+        names = sketched.columns
+        sketched = tables.write(sketched.join(shared, "key", "left").select(*names, "first").mapInArrow(move, sketched.schema), f"apart{n}")
+    raise ValueError("sets can't be told apart by 128 bits")
+
+
 def relabelled(tables: SharedTables, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """(key, label) after joining the components that ``links`` connect."""
     ends = links.join(labels.select(F.col("key").alias("x"), F.col("label").alias("lx")), "x").join(labels.select(F.col("key").alias("y"), F.col("label").alias("ly")), "y")
@@ -249,10 +344,8 @@ class NearDuplicates:
         t = self.tables = SharedTables(spark, "neardup")
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         marked = source.withColumn("mark", F.xxhash64("text"))
-        sketched = t.write(marked.select("doc_id", "text", "mark").mapInArrow(_sketch, SKETCHED), "sketched")
+        sketched, nodes = _node_table(t, t.write(marked.select("doc_id", "text", "mark").mapInArrow(_sketch, SKETCHED), "sketched"))
         self.rows = sketched.select("doc_id", "mark", "n_shingles", "key")
-        per_node = sketched.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-        nodes = t.write(per_node, "nodes")
         banded = nodes.select("key", F.explode("bands").alias("b"))
         shared = banded.groupBy("b").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("b")
         found = t.write(banded.join(shared, "b").select("b", "key"), "found")
@@ -265,8 +358,9 @@ class NearDuplicates:
         release_shuffles(spark)
         labels = t.write(wanted.select("key", F.col("key").alias("label")), "labels")
         for n in range(STAR_ROUNDS):
-            stars = t.write(_stars(members.join(labels, "key"), n), f"stars{n}")
-            compared = t.write(confirmed(stars, texts), f"compared{n}")
+            labelled = t.write(members.join(labels, "key"), f"labelled{n}")
+            stars = t.write(_stars(t, labelled, n), f"stars{n}")
+            compared = t.write(confirmed(t, stars, texts, f"stars{n}"), f"compared{n}")
             links = compared.where("linked").select("x", "y")
             found = links.count()
             if found:
@@ -274,10 +368,11 @@ class NearDuplicates:
             if LEAST_YIELD * found < stars.count():
                 break
         pivots = spark.read.parquet(t.path("compared0")).select(F.col("y").alias("key"), F.col("x").alias("pivot"), "j").dropDuplicates(["key"]) if STAR_ROUNDS else labels.select("key", F.col("key").alias("pivot"), F.lit(1.0).alias("j"))
-        pairs = t.write(_blocks(members.join(labels, "key"), nodes, pivots).mapInArrow(_compare_block, "x long, y long").distinct(), "pairs")
-        if not pairs.isEmpty():
-            labels = relabelled(t, labels, t.write(confirmed(pairs, texts), "more").where("linked").select("x", "y"), "last")
-        for name in ("texts", "found", "members", "pairs"):
+        labelled = t.write(members.join(labels, "key"), "labelled")
+        links = block_links(t, _blocks(t, labelled, nodes, pivots), texts)
+        if not links.isEmpty():
+            labels = relabelled(t, labels, links, "last")
+        for name in ("texts", "found", "members", "labelled", "flagged"):
             t.drop(name)
         named = nodes.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
