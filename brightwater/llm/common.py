@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -74,6 +74,13 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def row_key(*columns: str) -> tuple[Column, Column]:
+    """``row`` and ``row2``: 128 bits that the values of ``columns`` determine (null is a value of its own)."""
+    known = [F.col(f"`{c}`").isNull() for c in columns]
+    values = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*values, *known).alias("row"), F.xxhash64(F.lit("2"), *known, *values).alias("row2")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
