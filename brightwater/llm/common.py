@@ -13,7 +13,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,29 +85,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def prefix_sums(tables: SharedTables, df: DataFrame, order: Sequence[str], value: str, out: str, group: Sequence[str] = (), name: str = "ranged") -> DataFrame:
-    """Add ``out``: the sum of ``value`` over all earlier rows of the same ``group`` in ``order``.
+def prefix_sums(tables: SharedTables, df: DataFrame, order: Sequence[str], sums: Mapping[str, str], group: Sequence[str] = (), name: str = "ranged") -> DataFrame:
+    """Add each ``out`` of ``sums`` ({out: value}): the sum of ``value`` over all earlier rows of the same ``group`` in ``order``.
 
     The rows are dealt by range of (group, order), so a hot group spreads over many partitions; the
     totals of (group, partition) are few and get their offsets from a window over those totals; the
     last step is a window inside each (group, partition). Rows equal in ``order`` take their places
-    in any order. ``df`` should be narrow. Adds the columns ``_shard`` and ``out``.
+    in any order, the same for all sums. ``df`` should be narrow. Adds the columns ``_shard`` and the sums.
     """
     spark = tables.spark
     keys = [*group, *order]
     ranged = df.repartitionByRange(max(1, shuffle_partitions(spark)), *[F.col(k).asc_nulls_last() for k in keys])
     ranged = tables.write(ranged.withColumn("_shard", F.spark_partition_id()), name)
-    totals = ranged.groupBy(*group, "_shard").agg(F.sum(value).alias("_total"))
+    totals = ranged.groupBy(*group, "_shard").agg(*[F.sum(value).alias(f"_total_{out}") for out, value in sums.items()])
     before = Window.partitionBy(*group).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    offsets = totals.select(*group, "_shard", *[F.coalesce(F.sum(f"_total_{out}").over(before), F.lit(0)).alias(f"_before_{out}") for out in sums])
     inside = Window.partitionBy(*group, "_shard").orderBy(*[F.col(k).asc_nulls_last() for k in order]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    placed = ranged.select("*", *[F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(f"_inside_{out}") for out, value in sums.items()])
     same = F.col("p._shard") == F.col("o._shard")
     for g in group:
         same = same & F.col(f"p.{g}").eqNullSafe(F.col(f"o.{g}"))
     # (group, partition) totals: at most partitions + groups rows
     joined = placed.alias("p").join(offsets.alias("o"), same)
-    return joined.select("p.*", (F.col("_before") + F.col("_inside")).alias(out)).drop("_inside")
+    return joined.select("p.*", *[(F.col(f"_before_{out}") + F.col(f"_inside_{out}")).alias(out) for out in sums]).drop(*[f"_inside_{out}" for out in sums])
 
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -117,11 +117,11 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def blocks_of(texts: Sequence[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` with about ``limit`` bytes each; a longer text is a block of its own."""
+def blocks_of(texts: Sequence[bytes | str | int | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` (or of their sizes) with about ``limit`` bytes each; a longer text is a block of its own."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
-        n = len(t or b"")
+        n = t if isinstance(t, int) else len(t or b"")
         if held and held + n > limit:
             yield begin, i
             begin, held = i, 0

@@ -21,7 +21,7 @@ source), so reruns agree.
 Scale. The text is read once, to count words. What is shuffled is (id, source, size). A hot source
 is dealt over all partitions by range of (source, size, id), and ranks come from partition totals.
 
-Cases. Null or empty text: size 0, taken 0. A source without words: target 0. Empty table: empty
+Cases. Null or empty text: size 0, taken 0. Very long texts: counted whole. A source without words: target 0. Empty table: empty
 result. Null ids order last. Repeated rows are documents of their own. Extra columns are ignored.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedTables, prefix_sums
+from .common import SharedTables, prefix_sums, row_key
 
 SEED = "brightwater-mix"
 
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1
     tables = SharedTables(docs.sparkSession, "mix")
     extra = [F.col(row_key).alias("row_key")] if row_key else []
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.lit(1).cast("long").alias("_one"), *extra)
-    ranked = prefix_sums(tables, sizes, ["size", "doc_id"], "_one", "_rank", ["source"])
+    ranked = prefix_sums(tables, sizes, ["size", "doc_id"], {"_rank": "_one"}, ["source"])
     read = docs.sparkSession.read.schema(sizes.schema).parquet(tables.path("ranged"))
     targets = source_targets(read, weights, budget, max_epochs)
     placed = ranged_join(ranked, targets)
@@ -99,9 +99,9 @@ def ranged_join(ranked: DataFrame, targets: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, max_epochs: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The documents of the mix, each row as often as it is taken, all columns kept.
 
-    Rows meet their number of copies by a hash of all columns; rows equal in all columns pool theirs.
+    Rows meet their number of copies by 128 bits over all columns; rows equal in all columns pool theirs.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = docs.withColumn("_key", F.struct(*row_key(*docs.columns)))
     taken = mix(keyed, weights, budget, max_epochs, id_col, text_col, source_col, seed, row_key="_key")
     times = taken.groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").alias("_times")).where("_times > 0")
     rows = keyed.dropDuplicates(["_key"]).join(times, "_key")

@@ -11,37 +11,43 @@ stand. A chunk's key is a digest of its bytes. The store is a folder of Parquet
 * ``manifest``: the Merkle tree over the roots: level, node, digest; each node hashes at most
   ``FAN_OUT`` children. The highest level has one row.
 
-``read_back`` joins recipes with chunks, checks every payload against its key and every document
-against its root, and gives the ids of each document; a mismatch or a missing chunk raises.
-
-Encoding. White space never reaches a token of this tokenizer, so a text is split at white space and
-the ids of each piece come from bounded tables of what is already encoded; only new words go to the
-library. ``piecewise=False`` encodes whole texts, for tokenizers that keep white space.
-
-Cases. Null text: as empty, so only the end id. Repeated rows or ids: a recipe each, next to one
-another. Null doc_id: ordered last. Empty table: an empty store. Extra columns are ignored.
+Reading checks all of it: the Merkle tree of the recipes read back against the stored manifest, every
+document's keys against its root, every payload against its key. A mismatch, a lost recipe or a
+missing chunk raises.
+
+Encoding. Where the tokenizer's file has the normalizer and the split of ``PIECEWISE``, white space
+never reaches a token, so texts are split at ASCII white space, a block at a time, and the ids of its
+distinct pieces come from bounded tables of what is already encoded; only new words go to the library,
+and pieces with characters beyond Latin go there whole. Texts for any other tokenizer go
+to the library whole.
+
+Cases. Null text: as empty, so only the end id. Very long texts: whole, a chunk holds at most ``MOST``
+ids. Repeated rows or ids: a recipe each, next to one another. Null doc_id: ordered last. Empty table:
+an empty store. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, prefix_sums, release_shuffles
+from .common import SharedTables, blocks_of, prefix_sums, release_shuffles
 
 WINDOW = 16
 LEAST, MOST, MASK_BITS = 64, 2048, 9
 FAN_OUT = 1024
-KNOWN_PIECES, KNOWN_WORDS = 400_000, 800_000
+KNOWN_PIECES, KNOWN_WORDS = 800_000, 400_000
 END_ID = 1
 
 
@@ -55,8 +61,29 @@ def recipe_root(keys: list[bytes]) -> bytes:
 
 # The letters and numbers among the first 256 code points, as Unicode classes them
 LETTERS, NUMBERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")  # of text without white space
 LATIN = re.compile("[\x21-\x7e\xa1-\xff]+")
+# The normalizer and the split, as tokenizer files write them, that let texts be encoded piece by piece
+PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def works_piecewise(tokenizer_json: str) -> bool:
+    """Whether the file splits as ``PIECEWISE`` does and its added tokens can be told by ``<|``."""
+    own = json.loads(tokenizer_json)
+    marked = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not t["normalized"] and not t["lstrip"] and not t["rstrip"] for t in own.get("added_tokens") or [])
+    return marked and all(own.get(k) == v for k, v in PIECEWISE.items())
 
 
 def byte_alphabet() -> list[str]:
@@ -73,57 +100,70 @@ class Encoder:
     goes to the library's model; any other piece goes to the library whole.
     """
 
-    def __init__(self, tokenizer_json: str, piecewise: bool = True):
+    def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype, self.code = ("<u4", "I") if self.wide else ("<u2", "H")
-        self.piecewise = piecewise
+        self.dtype, self.code = ("<u4", "I") if self.wide else ("<u2", "H")  # machines of Spark are little-endian
+        self.piecewise = works_piecewise(tokenizer_json)
         self.pieces = Pieces(self)
         self.words: dict[str, bytes] = {}
-        self.alphabet = byte_alphabet()
+        self.alphabet = dict(enumerate(byte_alphabet()))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
-        ids = [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+    def word(self, word: str) -> bytes:
+        """The ids of a lower-cased word."""
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(self.words) < KNOWN_WORDS:
+                self.words[word] = ids
+        return ids
 
     def piece(self, piece: str) -> bytes:
-        words, low = self.words, piece.lower()
-        ids = words.get(low)
-        if ids is not None and "<|" not in piece:
-            return ids
-        if low[-1] in ".," and low[-2:-1].isalpha() and (ids := words.get(low[:-1])) is not None and low[-1] in words:
-            return ids + words[low[-1]]
-        if "<|" in piece or not (piece.isascii() or LATIN.fullmatch(piece)):
+        low = piece.lower()
+        if not piece:  # a text begins or ends with white space
+            return b""
+        if piece.isascii():
+            if low.isalpha():
+                return self.word(low)
+            if low[-1] in ".," and low[:-1].isalpha():
+                return self.word(low[:-1]) + self.word(low[-1])
+        elif not LATIN.fullmatch(piece):
+            return self._whole(piece)
+        if "<|" in piece:
             return self._whole(piece)
-        out = []
-        for w in WORDS.findall(low):
-            ids = words.get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(words) < KNOWN_WORDS:
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
+        return b"".join([self.word(w) for w in WORDS.findall(low)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        texts = texts.fill_null("")
         if not self.piecewise:
-            return [self._whole(t) for t in texts]
-        out, get = [], self.pieces.__getitem__
-        for t in texts:
-            if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:  # split() cuts there, the tokenizer doesn't
-                out.append(self._whole(t))
-            else:
-                out.append(b"".join(map(get, t.split())))
-        return out
+            own = [self._whole(t) for t in texts.to_pylist()]
+            ids = np.frombuffer(b"".join(own), self.dtype)
+            return ids, np.array([len(x) for x in own], np.int64) // ids.itemsize
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()  # each piece of a block is looked up once
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py()
+        held = list(map(self.pieces.__getitem__, distinct.split(" ") if len(coded.dictionary) else []))
+        blob = np.frombuffer(b"".join(held), self.dtype)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // blob.itemsize
+        starts = np.cumsum(sizes) - sizes
+        which, parts, ends = np.asarray(coded.indices), [], [np.zeros(1, np.int64)]
+        for at in range(0, len(which), 1 << 18):
+            own = which[at : at + (1 << 18)]
+            n = sizes[own]
+            before = np.cumsum(n)
+            parts.append(blob[np.repeat(starts[own] - before + n, n) + np.arange(before[-1])])
+            ends.append(before + ends[-1][-1])
+        ends = np.concatenate(ends)[np.asarray(split.offsets)]
+        return np.concatenate(parts) if parts else blob[:0], np.diff(ends)
 
 
 class Pieces(dict):
@@ -186,26 +226,28 @@ STAGED = "kind string, doc_id long, n_tokens long, keys array<binary>, root bina
 _STAGED_ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("keys", pa.list_(pa.binary())), ("root", pa.binary()), ("payload", pa.binary())])
 
 
-def _encode_partition(tokenizer, piecewise: bool, end_id: int):
+def _encode_partition(tokenizer, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(tokenizer.value)
         if key not in _encoders:
-            _encoders[key] = Encoder(tokenizer.value, piecewise)
+            _encoders[key] = Encoder(tokenizer.value)
         encoder, gear, seen = _encoders[key], _gear(), set()
         width = 4 if encoder.wide else 2
-        end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                streams = [x + end for x in encoder.encode(texts)]
-                lengths = [len(x) // width for x in streams]
-                cuts = cut_points(np.frombuffer(b"".join(streams), encoder.dtype), lengths, gear)
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for at, to in blocks_of(size, 1 << 22):
+                part = batch.slice(at, to - at)
+                docs = part.column(0).to_pylist()
+                stream, lengths = encoder.encode(part.column(1))
+                stream = np.insert(stream, np.cumsum(lengths), end_id)
+                lengths = (lengths + 1).tolist()
+                cuts = cut_points(stream, lengths, gear)
+                whole, first = stream.tobytes(), 0
                 kinds, ids, counts, keys, roots, payloads = [], [], [], [], [], []
-                for doc, stream, n, ends in zip(docs, streams, lengths, cuts, strict=True):
+                for doc, n, ends in zip(docs, lengths, cuts, strict=True):
                     own, begin = [], 0
                     for e in ends:
-                        payload = stream[begin * width : e * width]
+                        payload = whole[(first + begin) * width : (first + e) * width]
                         own.append(k := chunk_key(payload))
                         begin = e
                         if k not in seen:
@@ -213,6 +255,7 @@ def _encode_partition(tokenizer, piecewise: bool, end_id: int):
                                 seen.clear()
                             seen.add(k)
                             kinds.append("chunk"), ids.append(None), counts.append(len(payload) // width), keys.append([k]), roots.append(None), payloads.append(payload)
+                    first += n
                     kinds.append("recipe"), ids.append(doc), counts.append(n), keys.append(own), roots.append(recipe_root(own)), payloads.append(None)
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((kinds, ids, counts, keys, roots, payloads), _STAGED_ARROW, strict=True)], schema=_STAGED_ARROW)
 
@@ -228,7 +271,9 @@ class TokenStore:
         self.chunks, self.recipes, self.manifest = (read(tables.path(x)) for x in ("chunks", "recipes", "manifest"))
 
     def read_back(self) -> DataFrame:
-        """start, doc_id, n_tokens, ids (bytes as stored), verified against keys and roots."""
+        """start, doc_id, n_tokens, root, parts (pos, key, payload): recipes that the manifest vouches for, with their chunks."""
+        if not self.manifest_holds():
+            raise ValueError("the recipes do not match the manifest")
         wanted = self.recipes.select("start", F.posexplode("keys").alias("pos", "key"))
         pieces = wanted.join(self.chunks.select("key", "payload"), "key", "left")
         rows = pieces.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "payload"))).alias("parts"))
@@ -253,8 +298,9 @@ class TokenStore:
 
     def manifest_holds(self) -> bool:
         """Whether the stored Merkle tree is the one of the stored recipes."""
-        top = merkle(self.recipes, self.tables.spark)
-        return sorted(map(tuple, top.collect())) == sorted(map(tuple, self.manifest.where(F.col("level") == F.lit(self.manifest.agg(F.max("level")).first()[0])).collect()))
+        top = merkle_levels(self.recipes)[-1].collect()  # one node, or none
+        stored = self.manifest.orderBy(F.desc("level"), "node").limit(1).collect()
+        return [tuple(r) for r in top] == [tuple(r) for r in stored]
 
 
 def check_chunk(key: bytes, payload: bytes | None) -> bytes:
@@ -279,11 +325,7 @@ def merkle_levels(recipes: DataFrame) -> list[DataFrame]:
     return out
 
 
-def merkle(recipes: DataFrame, spark) -> DataFrame:
-    return merkle_levels(recipes)[-1]
-
-
-def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, piecewise: bool = True, id_col: str = "doc_id", text_col: str = "text", tables: SharedTables | None = None) -> TokenStore:
+def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", tables: SharedTables | None = None) -> TokenStore:
     """Encode every whole text and write the store; returns a handle to it."""
     spark = docs.sparkSession
     tables = tables or SharedTables(spark, "tokens")
@@ -294,14 +336,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, piec
     wide = Tokenizer.from_str(text).get_vocab_size() > 1 << 16
     shared = spark.sparkContext.broadcast(text)  # a vocabulary: a few MB whatever the corpus
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    staged = tables.write(rows.mapInArrow(_encode_partition(shared, piecewise, end_id), STAGED), "staged", "zstd", ["kind"])
+    staged = tables.write(rows.mapInArrow(_encode_partition(shared, end_id), STAGED), "staged", "zstd", ["kind"])
     chunks = staged.where("kind = 'chunk'").select(F.element_at("keys", 1).alias("key"), F.col("n_tokens").alias("n_ids"), "payload")
     tables.write(chunks.groupBy("key").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload")), "chunks", "zstd")
     recipes = staged.where("kind = 'recipe'").select("doc_id", "n_tokens", "keys", "root", F.lit(1).cast("long").alias("one"))
-    placed = prefix_sums(tables, recipes, ["doc_id", "root"], "n_tokens", "start")
-    placed = prefix_sums(tables, placed.drop("_shard"), ["start"], "one", "index", name="ranged2")
+    placed = prefix_sums(tables, recipes, ["doc_id", "root"], {"start": "n_tokens", "index": "one"})
     tables.write(placed.select("start", "doc_id", "n_tokens", "keys", "root", "index"), "recipes")
-    for name in ("staged", "ranged", "ranged2"):
+    for name in ("staged", "ranged"):
         tables.drop(name)
     release_shuffles(spark)
     written = spark.read.parquet(tables.path("recipes"))

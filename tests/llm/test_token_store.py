@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from brightwater.llm import token_store as ts
@@ -10,6 +11,11 @@ from brightwater.llm.common import SharedTables
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoded(enc, texts):
+    ids, n = enc.encode(pa.array(texts, pa.string()))
+    return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 def test_rows_equal_whole_text_encoding(spark):
     from tokenizers import Tokenizer
 
@@ -40,13 +46,47 @@ def test_damage_is_found(spark):
         store.digests().collect()
 
 
+def test_lost_and_changed_recipes_are_found(spark):
+    from pyspark.sql import functions as F
+
+    for damage in (lambda r: r.where("doc_id <> 7 OR doc_id IS NULL"), lambda r: r.withColumn("root", F.when(F.col("doc_id") == 7, F.lit(b"0" * 16)).otherwise(F.col("root"))), lambda r: r.limit(0)):
+        store = ts.write_store(spark.createDataFrame(plain.corpus(), plain.SCHEMA), PATH)
+        assert store.manifest_holds()
+        store.recipes = damage(store.recipes)
+        with pytest.raises(ValueError, match="manifest"):
+            store.digests()
+
+
 def test_encoder_equals_library():
     enc = ts.Encoder(open(PATH, encoding="utf-8").read())
+    assert enc.piecewise
     rng = random.Random(1)
     alphabet = "abzABZ 019 \t\n\x1c\xa0éÉßŞİK'’.,!<|>́日本½²_-"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["it's <|endoftext|> x<|endoftext|>y they'LL'd ''s I'm", "", "  "]
     want = [np.array(e.ids, "<u2").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert enc.encode(texts) == want == enc.encode(texts)
+    assert encoded(enc, texts) == want == encoded(enc, texts)
+
+
+def test_encoder_equals_library_on_all_code_points():
+    enc = ts.Encoder(open(PATH, encoding="utf-8").read())
+    rng = random.Random(3)
+    points = [chr(c) for c in range(0x250)] + [" "] * 60 + ["̈", "İ", "\u2028", "\u200b", "\ufeff", "日", "😀"]
+    texts = ["".join(rng.choice(points) for _ in range(rng.randrange(30))) for _ in range(20000)]
+    texts += [chr(c) for c in range(0x250)] + [f"a{chr(c)}b {chr(c)}" for c in range(0x250)] + ["\x1b[0m", "a\x00b"]
+    want = [np.array(e.ids, "<u2").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    bad = [t for t, a, b in zip(texts, encoded(enc, texts), want, strict=True) if a != b]
+    assert not bad, [ascii(t) for t in bad[:5]]
+
+
+def test_other_tokenizers_take_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not ts.Encoder(open(path, encoding="utf-8").read()).piecewise
+    from tokenizers import Tokenizer
+
+    rows = plain.corpus()
+    got = ts.write_store(spark.createDataFrame(rows, plain.SCHEMA), path).digests().collect()
+    by_id = lambda rs: sorted((r[0] is None, r[0] or 0, r[2], r[3]) for r in rs)
+    assert by_id(map(tuple, got)) == by_id(plain.token_rows(rows, Tokenizer.from_file(path)))
 
 
 def test_cuts_cover_documents_and_follow_content():
