@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import random
 import re
 import struct
 import zlib
 from hashlib import sha256
 
-import random
-
 WORDS = [a + b for a in ("ba", "ko", "li", "mu", "ne", "sa", "to", "vi") for b in ("ran", "del", "sto", "ki", "mer", "pu")]
 
 
@@ -119,3 +119,111 @@ def token_rows(rows: list[tuple], tokenizer) -> list[tuple]:
         out.append((r[0], at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
     return out
+
+
+SECRETS = (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1), ("access", r"AKIA[A-Z0-9]+", 16, 0), ("hex", r"[0-9a-f]+", 32, 0))
+
+
+def base_secrets(text: str) -> list[tuple]:
+    """(start, kind, end)."""
+    out = []
+    for kind, (_, pattern, least, group) in enumerate(SECRETS):
+        out += [(x.start(), kind, x.end()) for x in re.finditer(pattern, text, re.ASCII) if len(x[group]) >= least]
+    return sorted(out)
+
+
+def all_secrets(text: str) -> list[tuple]:
+    """(start, kind, end) in the text and in all layers, every layer as a list of (character, start, end)."""
+    found, work, seen = set(), [[(c, i, i + 1) for i, c in enumerate(text)]], set()
+    while work:
+        layer = work.pop()
+        own = "".join(x[0] for x in layer)
+        if not layer or (own, layer[0][1], layer[-1][2]) in seen:
+            continue
+        seen.add((own, layer[0][1], layer[-1][2]))
+        found |= {(layer[a][1], k, layer[b - 1][2]) for a, k, b in base_secrets(own)}
+        work += layers_below(layer, own)
+    return sorted(found)
+
+
+def layers_below(layer: list[tuple], text: str) -> list[list[tuple]]:
+    out = []
+    for run in re.finditer(r"\S+", text):
+        own = layer[run.start() : run.end()]
+        if re.search("%[0-9A-Fa-f]{2}", run[0]):
+            got, i = [], 0
+            while i < len(own):
+                if re.match("%[0-9A-Fa-f]{2}", run[0][i:]):
+                    got.append((int(run[0][i + 1 : i + 3], 16), own[i][1], own[i + 2][2]))
+                    i += 3
+                else:
+                    got += [(b, *own[i][1:]) for b in own[i][0].encode("utf-8", "surrogateescape")]
+                    i += 1
+            out += from_bytes(got)
+        if re.search(r"\\(u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})", run[0]):
+            chars, raw, i = [], [], 0
+            while i < len(own):
+                m = re.match(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))", run[0][i:])
+                n = m.end() if m else 1
+                c, span = (chr(int(m[1] or m[2], 16)) if m else own[i][0]), (own[i][1], own[i + n - 1][2])
+                if chars and "\ud800" <= chars[-1][0] <= "\udbff" and "\udc00" <= c <= "\udfff":
+                    chars[-1] = ((chars[-1][0] + c).encode("utf-16", "surrogatepass").decode("utf-16"), chars[-1][1], span[1])
+                    raw[-4:] = [(b, chars[-1][1], span[1]) for b in chars[-1][0].encode()]
+                else:
+                    chars.append((c, *span))
+                    raw += [(b, *span) for b in ([ord(c)] if m and m[2] else c.encode("utf-8", "surrogateescape" if "\udc80" <= c <= "\udcff" else "surrogatepass"))]
+                i += n
+            out.append(chars)
+            if re.search(r"\\x[89A-Fa-f]", run[0]):
+                out += from_bytes(raw)
+    for m in [*re.finditer("[A-Za-z0-9+/_-]{16,}", text), *re.finditer(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})+", text)]:
+        own = [x for x in layer[m.start() : m.end()] if x[0] not in "\r\n \t"]
+        for shift in range(4):
+            part = own[shift:]
+            if len(part) % 4 == 1:
+                part = part[:-1]
+            data = base64.b64decode("".join(x[0] for x in part).replace("-", "+").replace("_", "/") + "=" * (-len(part) % 4))
+            out += from_bytes([(b, own[shift + i // 3 * 4 + i % 3][1], own[min(shift + i // 3 * 4 + i % 3 + 1, len(own) - 1)][2]) for i, b in enumerate(data)], (layer[m.start()][1], layer[m.end() - 1][2]))
+    return out
+
+
+def from_bytes(data: list[tuple], whole: tuple | None = None) -> list[list[tuple]]:
+    """The text of (byte, start, end), and of the streams in it."""
+    raw = bytes(x[0] for x in data)
+    whole = whole or (data[0][1], data[-1][2])
+    layer, at = [], 0
+    for c in raw.decode("utf-8", "surrogateescape"):
+        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+        layer.append((c, data[at][1], data[at + n - 1][2]))
+        at += n
+    return [layer, *[[(c, *whole) for c in t] for t in streams(raw)]]
+
+
+def streams(raw: bytes) -> list[str]:
+    out, done = [], 0
+    for i in range(len(raw)):
+        usual = raw[i : i + 3] == b"\x1f\x8b\x08" or raw[i : i + 2] in (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+        if i < done or not (usual or (i == 0 and starts_stream(raw))):
+            continue
+        got, at = b"", i
+        while starts_stream(raw[at:]):
+            d = zlib.decompressobj(47)
+            try:
+                for k in range(at, len(raw)):  # byte by byte: all there is before the damage
+                    got += d.decompress(raw[k : k + 1])
+                    if d.eof:
+                        break
+            except zlib.error:
+                break
+            if not d.eof:
+                at = len(raw)
+                break
+            at = k + 1
+        done = max(done, at)
+        if got:
+            out += [got.decode("utf-8", "surrogateescape"), *streams(got)]
+    return out
+
+
+def starts_stream(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
