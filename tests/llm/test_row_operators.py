@@ -156,7 +156,7 @@ def test_cycles_end():
         text = text.replace("%", "%25")
     assert secrets.find_secrets(text) == ([], [])
     deep = "token%" + "25" * 30 + "3dabcdefgh1"
-    assert [deep[s:e] for s, _, e in secrets.find_secrets(deep)[1]] == [deep]
+    assert (0, 0, len(deep)) in secrets.find_secrets(deep)[1]
 
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("a.b.com", "/en/x", "block"), (None, "/", "block")]
