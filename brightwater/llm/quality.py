@@ -9,8 +9,10 @@ one table of probabilities of all seen n-grams and one of back-off weights.
 
 A document's perplexity is exp of its mean negative log probability per byte; its peak is the same
 over its worst word of ``PEAK_BYTES`` bytes or more, which a single insult or junk token raises even
-in a long clean text. A document is rejected if either is over its language's threshold: the
-``QUANTILE`` of the trusted documents of that language that training left out (one in ``HOLD_OUT`` by
+in a long clean text; its spread is the least standard deviation of the words' nats per byte in any
+``FLAT_WORDS`` words in a row, which falls to 0 where one word is repeated. A document is rejected if
+perplexity or peak is over its language's threshold, or the spread under ``FLAT_SHARE`` of its lower
+one: the ``QUANTILE`` (for the spread, 1 - ``QUANTILE``) of the trusted documents of that language that training left out (one in ``HOLD_OUT`` by
 hash). Where these are fewer than ``LEAST_HELD``, each of the ``HOLD_OUT`` parts is scored by a model of
 the others, and the threshold comes from all of them; with fewer than ``LEAST_HELD`` of these as well
 there is none and the language's documents are kept.
@@ -26,10 +28,11 @@ A language that is larger by itself is split by the byte before the predicted on
 for all orders of a position; its documents are then scored once per part and the word sums added.
 So no table of unbounded size is ever broadcast.
 
-Trusted ids meet the texts by a broadcast set only up to ``TRUSTED_IDS`` ids (a count decides), else
-by a join.
+Trusted ids meet the texts by a broadcast set only up to ``TRUSTED_IDS`` ids, tables of a row per
+language are broadcast only up to ``MOST_LANGUAGES`` (counts decide); else these are joins.
 
-Cases. Null or empty text: perplexity null, kept. A language (or null) without trusted text: no
+Cases. Null or empty text: perplexity null, kept. Very long texts: whole. Values equal to a limit: kept.
+Fewer than ``FLAT_WORDS`` words: spread null, no limit on it. A language (or null) without trusted text: no
 model, perplexity null, kept. One with too little of it: limits null, kept. Repeated rows: a row each; a trusted id counts all rows that bear it.
 No labels: all kept. Extra columns are ignored.
 """
@@ -50,9 +53,11 @@ ORDER = 5
 PEAK_BYTES = 4
 QUANTILE = 0.99
 TAIL = 0.8
+FLAT_WORDS, FLAT_SHARE = 8, 0.5
 HOLD_OUT, LEAST_HELD = 4, 50
 MODEL_ROWS = 6_000_000
 TRUSTED_IDS = 4_000_000
+MOST_LANGUAGES = 100_000
 _U = np.uint64
 NO_LANG = "\x00"
 
@@ -162,6 +167,16 @@ def peak_of(sums: np.ndarray, sizes: np.ndarray) -> float:
     return float((sums[long] / sizes[long]).max()) if long.any() else 0.0
 
 
+def spread_of(sums: np.ndarray, sizes: np.ndarray) -> float | None:
+    """The least standard deviation of the nats per byte of FLAT_WORDS words in a row; null for fewer words."""
+    if len(sums) < FLAT_WORDS:
+        return None
+    rate = sums / sizes
+    until = [np.concatenate([[0.0], np.cumsum(x)]) for x in (rate, rate * rate)]
+    mean, square = ((c[FLAT_WORDS:] - c[:-FLAT_WORDS]) / FLAT_WORDS for c in until)
+    return float(np.sqrt(max(0.0, (square - mean * mean).min())))
+
+
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
     """Ids whose labels all say good quality and none toxic."""
     per = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
@@ -234,12 +249,18 @@ def train(tables: SharedTables, docs: DataFrame, trusted: DataFrame) -> DataFram
     return fit(tables, counted)
 
 
+def few_languages(df: DataFrame) -> bool:
+    """Whether a table of a row per language is small enough to broadcast."""
+    return df.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+
+
 def fit(tables: SharedTables, counted: DataFrame) -> DataFrame:
     """The model of counted ``ORDER``-grams (``COUNTS``)."""
     grams = {ORDER: tables.write(counted.groupBy("lang", "key").agg(F.sum("n").alias("c")), f"grams{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
         low = F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1))
         grams[order] = tables.write(grams[order + 1].groupBy("lang", low.alias("key")).agg(F.count("*").alias("c")), f"grams{order}")
+    few = few_languages(grams[1])
     out = None
     below = None
     for order in range(1, ORDER + 1):
@@ -253,7 +274,7 @@ def fit(tables: SharedTables, counted: DataFrame) -> DataFrame:
             return F.least(F.greatest(F.coalesce(d, F.lit(0.5 * i)), F.lit(0.1 * i)), F.lit(0.95 * i)).alias(f"d{i}")
 
         discounts = spectrum.select("lang", *[discount(i) for i in (1, 2, 3)])
-        with_d = table.join(discounts, "lang").withColumn("ctx", F.shiftright("key", 8)).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        with_d = table.join(F.broadcast(discounts) if few else discounts, "lang").withColumn("ctx", F.shiftright("key", 8)).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         contexts = with_d.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("freed"))
         placed = with_d.select("lang", "key", "ctx", "c", "d").join(contexts, ["lang", "ctx"])
         own, gamma = (F.col("c") - F.col("d")) / F.col("total"), F.col("freed") / F.col("total")
@@ -311,7 +332,7 @@ def load_block(model: DataFrame, langs: list[str], previous: frozenset[int] | No
     return {name: (cols[0][lang == i], cols[1][lang == i].view(np.uint64), cols[2][lang == i], cols[3][lang == i]) for i, name in enumerate(names)}
 
 
-SCORES = "doc_id long, lang string, n_bytes long, nats double, peak double, words long, sums array<double>, sizes array<int>, mark long"
+SCORES = "doc_id long, lang string, n_bytes long, nats double, peak double, spread double, words long, sums array<double>, sizes array<int>, mark long"
 _scorers: dict[str, dict[str, Scorer]] = {}
 
 
@@ -326,30 +347,30 @@ def _score_partition(shared, previous: frozenset[int] | None):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if not text or lang not in scorers:
-                        row = (len(text_bytes(text or "")), None, None, None, None, None)
+                        row = (len(text_bytes(text or "")), None, None, None, None, None, None)
                     else:
                         total, sums, sizes = scorers[lang].words(text)
                         whole = previous is None
-                        row = (len(text_bytes(text)), total, peak_of(sums, sizes) if whole else None, long_words(sizes), None if whole else sums, None if whole else sizes.astype(np.int32))
+                        row = (len(text_bytes(text)), total, peak_of(sums, sizes) if whole else None, spread_of(sums, sizes) if whole else None, long_words(sizes), None if whole else sums, None if whole else sizes.astype(np.int32))
                     for to, v in zip(out, row, strict=True):
                         to.append(v)
-                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)], part.column(3)], ["doc_id", "lang", "n_bytes", "nats", "peak", "words", "sums", "sizes", "mark"])
+                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)], part.column(3)], ["doc_id", "lang", "n_bytes", "nats", "peak", "spread", "words", "sums", "sizes", "mark"])
 
     return run
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes, nats, peak (in nats per byte), words (those that can be the peak), mark: one row per document."""
+    """doc_id, lang, n_bytes, nats, peak, spread (in nats per byte), words (those that can be the peak), mark: one row per document."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text", "lang").alias("mark"))
     blocks = list(model_blocks(model))
     parts, covered = [], []
     split: dict[str, list[DataFrame]] = {}
-    plain = ["doc_id", "lang", "n_bytes", "nats", "peak", "words", "mark"]
+    plain = ["doc_id", "lang", "n_bytes", "nats", "peak", "spread", "words", "mark"]
     if len(blocks) == 1 and blocks[0][1] is None:  # the usual case: one pass over everything
         shared = spark.sparkContext.broadcast(load_block(model, *blocks[0]))
         return rows.mapInArrow(_score_partition(shared, None), SCORES).select(*plain)
@@ -368,8 +389,11 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         # copies of a row share its mark: their sums come several times and are averaged out
         add = "transform(sequence(0, size(sizes) - 1), i -> aggregate(every, 0D, (a, s) -> a + s[i]) / copies)"
         merged = every.groupBy("doc_id", "lang", "mark").agg(F.max("n_bytes").alias("n_bytes"), F.sum("nats").alias("nats"), F.max("words").alias("words"), F.collect_list("sums").alias("every"), F.first("sizes", ignorenulls=True).alias("sizes"), (F.count("*") / len(passes)).alias("copies"))
-        worst = f"CASE WHEN size(sizes) > 0 THEN coalesce(array_max(zip_with({add}, sizes, (s, n) -> CASE WHEN n >= {PEAK_BYTES} THEN s / n END)), 0D) WHEN nats IS NOT NULL THEN 0D END"
-        merged = merged.select("doc_id", "lang", "n_bytes", (F.col("nats") / F.col("copies")).alias("nats"), F.expr(worst).alias("peak"), "words", "mark", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+        merged = merged.withColumn("rates", F.expr(f"CASE WHEN size(sizes) > 0 THEN zip_with({add}, sizes, (s, n) -> s / n) END"))
+        worst = f"CASE WHEN rates IS NOT NULL THEN coalesce(array_max(zip_with(rates, sizes, (r, n) -> CASE WHEN n >= {PEAK_BYTES} THEN r END)), 0D) WHEN nats IS NOT NULL THEN 0D END"
+        moments = f"aggregate(slice(rates, i + 1, {FLAT_WORDS}), struct(0D AS a, 0D AS q), (t, x) -> struct(t.a + x AS a, t.q + x * x AS q), t -> sqrt(greatest(t.q / {FLAT_WORDS} - t.a * t.a / {FLAT_WORDS * FLAT_WORDS}, 0D)))"
+        flat = f"CASE WHEN size(rates) >= {FLAT_WORDS} THEN array_min(transform(sequence(0, size(rates) - {FLAT_WORDS}), i -> {moments})) END"
+        merged = merged.select("doc_id", "lang", "n_bytes", (F.col("nats") / F.col("copies")).alias("nats"), F.expr(worst).alias("peak"), F.expr(flat).alias("spread"), "words", "mark", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
         parts.append(merged.select(*plain))
     rest = rows.where(~F.col("lang").isin(covered)) if covered else rows
     empty = spark.sparkContext.broadcast({})
@@ -380,13 +404,14 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     return out
 
 
-def limits_of(held: DataFrame, quantile: float) -> DataFrame:
-    """lang, perplexity_limit, peak_base, spread, mean_words: the thresholds that the scores of trusted documents give."""
+def limits_of(held: DataFrame, quantile: float, few: bool) -> DataFrame:
+    """lang, perplexity_limit, peak_base, tail, mean_words, spread_limit: the thresholds that the scores of trusted documents give."""
     at = lambda c, q: F.percentile_approx(c, F.lit(q), F.lit(20000))
-    per = held.groupBy("lang").agg(F.count("*").alias("held"), at("perplexity", quantile).alias("perplexity_limit"), at("peak", quantile).alias("peak_base"), at("peak", min(TAIL, quantile)).alias("u"), F.greatest(F.avg("words"), F.lit(1.0)).alias("mean_words")).where(F.col("held") >= LEAST_HELD)
-    over = held.join(F.broadcast(per.select("lang", "u")), "lang").where("peak > u")  # a row per language
-    spread = over.groupBy("lang").agg(F.avg(F.col("peak") - F.col("u")).alias("spread"))
-    return per.join(spread, "lang", "left").select("lang", "perplexity_limit", "peak_base", F.coalesce("spread", F.lit(0.0)).alias("spread"), "mean_words")
+    per = held.groupBy("lang").agg(F.count("*").alias("held"), at("perplexity", quantile).alias("perplexity_limit"), at("peak", quantile).alias("peak_base"), at("peak", min(TAIL, quantile)).alias("u"), (FLAT_SHARE * at("spread", 1 - quantile)).alias("spread_limit"), F.greatest(F.avg("words"), F.lit(1.0)).alias("mean_words")).where(F.col("held") >= LEAST_HELD)
+    bounds = per.select("lang", "u")
+    over = held.join(F.broadcast(bounds) if few else bounds, "lang").where("peak > u")
+    tail = over.groupBy("lang").agg(F.avg(F.col("peak") - F.col("u")).alias("tail"))
+    return per.join(tail, "lang", "left").select("lang", "perplexity_limit", "peak_base", F.coalesce("tail", F.lit(0.0)).alias("tail"), "mean_words", "spread_limit")
 
 
 def cross_scores(docs: DataFrame, trusted: DataFrame, langs: list[str]) -> DataFrame:
@@ -402,7 +427,7 @@ def cross_scores(docs: DataFrame, trusted: DataFrame, langs: list[str]) -> DataF
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """One row per document: doc_id, lang, n_bytes, perplexity, peak, their limits, kept, mark."""
+    """One row per document: doc_id, lang, n_bytes, perplexity, peak, spread, their limits, kept, mark."""
     tables = SharedTables(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"))
     trusted = tables.write(trusted_ids(labels), "trusted")
@@ -414,17 +439,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     perplexity = F.when(F.col("n_bytes") > 0, F.exp(F.col("nats") / F.col("n_bytes")))
     scored = scored.withColumn("perplexity", perplexity)
     good = scored.where("perplexity IS NOT NULL").join(trusted, "doc_id", "left_semi").withColumn("out", left_out(F.col("doc_id")))
-    unseen = good.where("out").select("lang", "perplexity", "peak", "words")
+    unseen = good.where("out").select("lang", "perplexity", "peak", "spread", "words")
     few = good.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("out").cast("int")).alias("held")).where((F.col("held") < LEAST_HELD) & (F.col("n") >= LEAST_HELD))
     if langs := [r["lang"] for r in few.collect()]:  # a row per language
         more = tables.write(cross_scores(rows, trusted, langs), "more").withColumn("perplexity", perplexity)
-        unseen = unseen.unionByName(more.where("perplexity IS NOT NULL").select("lang", "perplexity", "peak", "words"))
-    limits = limits_of(unseen, quantile)
-    judged = scored.join(limits, "lang", "left").withColumn("peak_limit", F.col("peak_base") + F.col("spread") * F.log(F.greatest(F.col("words") / F.col("mean_words"), F.lit(1.0))))
+        unseen = unseen.unionByName(more.where("perplexity IS NOT NULL").select("lang", "perplexity", "peak", "spread", "words"))
+    small = few_languages(good)
+    limits = tables.write(limits_of(unseen, quantile, small), "limits")
+    judged = scored.join(F.broadcast(limits) if small else limits, "lang", "left").withColumn("peak_limit", F.col("peak_base") + F.col("tail") * F.log(F.greatest(F.col("words") / F.col("mean_words"), F.lit(1.0))))
     judged = judged.withColumn("peak", F.when(F.col("n_bytes") > 0, F.exp("peak"))).withColumn("peak_limit", F.exp("peak_limit"))
-    kept = F.coalesce((F.col("perplexity") <= F.col("perplexity_limit")) & (F.col("peak") <= F.col("peak_limit")), F.lit(True))
+    kept = F.coalesce((F.col("perplexity") <= F.col("perplexity_limit")) & (F.col("peak") <= F.col("peak_limit")), F.lit(True)) & F.coalesce(F.col("spread") >= F.col("spread_limit"), F.lit(True))
     named = F.when(F.col("lang") != NO_LANG, F.col("lang"))
-    return judged.select("doc_id", named.alias("lang"), "n_bytes", "perplexity", "peak", "perplexity_limit", "peak_limit", kept.alias("kept"), "mark")
+    return judged.select("doc_id", named.alias("lang"), "n_bytes", "perplexity", "peak", "spread", "perplexity_limit", "peak_limit", "spread_limit", kept.alias("kept"), "mark")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:

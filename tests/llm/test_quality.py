@@ -1,5 +1,6 @@
 import math
 import random
+import statistics
 from collections import defaultdict
 
 import plain
@@ -81,24 +82,25 @@ def test_scores_equal_brute_force(spark, monkeypatch, limits):
     want = {}
     for r in rows:
         if not r[1] or r[2] not in models:
-            want.setdefault((r[0], r[1]), (None, None))
+            want.setdefault((r[0], r[1]), (None, None, None))
             continue
         data = bytes(ql.padded(r[1]))
         s = [-math.log(models[r[2]](data[: i], data[i])) for i in range(ql.ORDER - 1, len(data))]
-        peak, at = 0.0, 0
+        peak, at, rates = 0.0, 0, []
         for w in r[1].lower().encode().split():
             at = r[1].lower().encode().index(w, at)
             if len(w) >= ql.PEAK_BYTES:
                 peak = max(peak, sum(s[at : at + len(w)]) / len(w))
+            rates.append(sum(s[at : at + len(w)]) / len(w))
             at += len(w)
-        want[(r[0], r[1])] = (sum(s), peak)
+        want[(r[0], r[1])] = (sum(s), peak, min((statistics.pstdev(rates[i : i + ql.FLAT_WORDS]) for i in range(len(rates) - ql.FLAT_WORDS + 1)), default=None))
     assert len(got) == len(rows)
     assert sorted(x["nats"] is None for x in got) == sorted(want[(r[0], r[1])][0] is None for r in rows)
     by_id = defaultdict(list)
     for x in got:
-        by_id[x["doc_id"]].append((x["nats"], x["peak"]))
+        by_id[x["doc_id"]].append((x["nats"], x["peak"], x["spread"]))
     for (i, _), w in want.items():
-        assert any((g[0] is None and w[0] is None) or (g[0] is not None and w[0] is not None and abs(g[0] - w[0]) < 1e-3 * max(1, w[0]) and abs(g[1] - w[1]) < 1e-3) for g in by_id[i]), (i, w, by_id[i])
+        assert any((g[0] is None and w[0] is None) or (g[0] is not None and w[0] is not None and abs(g[0] - w[0]) < 1e-3 * max(1, w[0]) and abs(g[1] - w[1]) < 1e-3 and (g[2] is None) == (w[2] is None) and abs((g[2] or 0) - (w[2] or 0)) < 1e-3) for g in by_id[i]), (i, w, by_id[i])
 
 
 def test_rejects_junk_and_insults_and_keeps_clean(spark):
@@ -111,6 +113,15 @@ def test_rejects_junk_and_insults_and_keeps_clean(spark):
     assert left.columns == docs.columns and left.where("doc_id in (900, 901)").count() == 0 and left.where("doc_id = 3").count() == 3
 
 
+def test_rejects_repeated_words(spark):
+    rows, labels = rows_and_labels()
+    words = rows[0][1].split()[:5]
+    rows += [(2000, rows[0][1] + f" {words[0]}" * 30, "en", "s", None), (2001, " ".join(w for w in words for _ in range(20)), "en", "s", None), (2002, f"{words[0]} " * 5, "en", "s", None)]
+    got = {r["doc_id"]: r for r in ql.classify(spark.createDataFrame(rows, plain.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert not got[2000]["kept"] and not got[2001]["kept"] and got[2000]["spread"] < 1e-3 and got[2002]["spread"] is None
+    assert sum(got[i]["kept"] for i in range(160)) >= 150
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], plain.SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
