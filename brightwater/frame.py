@@ -248,8 +248,8 @@ class Frame:
     def json_unnest(self, column: str, path: str | None = None, as_: str | None = None) -> Frame:
         return self._with(_json.unnest(self.df, column, path, as_))
 
-    def json_expand(self, column: str) -> Frame:
-        return self._with(_json.expand(self.df, column))
+    def json_expand(self, column: str, most: int = _json.MOST_KEYS) -> Frame:
+        return self._with(_json.expand(self.df, column, most))
 
     def fts_index(self, id_col: str, text_cols: Sequence[str] | str, **options: object) -> _fts.FtsIndex:
         return _fts.create_index(self.df, id_col, text_cols, **options)

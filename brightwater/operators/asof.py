@@ -4,7 +4,7 @@ Both sides are unioned and ordered by (by, side) inside each key group; a runnin
 rows gives the match, so the join is one shuffle and linear, never a product. Groups that are too
 large for one task, or no equality keys at all, are cut into ranges of ``by``: each range finds its
 matches on its own, and rows that find none take the last right row of the nearest earlier range, of
-which there is one per (group, range).
+which there is one per (group, range). Large inputs are looked at for such groups before.
 """
 
 from __future__ import annotations
@@ -24,7 +24,33 @@ def _range_of(df: DataFrame, by: str, ranges: int) -> Column:
     value = col(by).cast("double") if dict(df.dtypes)[by] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(col(by).cast("timestamp")).cast("double")
     cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c <= value))
+    if not cuts:
+        return F.lit(0)
+    bounds, steps = F.array(*[F.lit(c) for c in cuts]), len(cuts).bit_length()
+    state = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2)
+        return F.when(a["lo"] >= a["hi"], a).when(F.get(bounds, middle.cast("int")) <= value, state(middle + 1, a["hi"])).otherwise(state(a["lo"], middle))
+
+    # the number of cuts that are not greater, by halving
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(F.lit(0), F.lit(len(cuts))), halve, lambda a: a["lo"])
+
+
+HOT_BYTES, HOT_ROWS = 1 << 30, 5_000_000
+
+
+def _ranges_for(left: DataFrame, right: DataFrame, on: list[str]) -> int:
+    """1 while no group of the keys is too large for one task, else as many ranges as its rows need.
+
+    Inputs that the optimizer estimates under ``HOT_BYTES`` can't have such a group, so nothing is run for them.
+    """
+    size = sum(int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for d in (left, right))
+    if size < HOT_BYTES:
+        return 1
+    keys = left.select(*map(col, on)).unionAll(right.select(*map(col, on)))
+    most = keys.groupBy(*map(col, on)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return 1 + most // HOT_ROWS
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: tuple[str, str], how: str = "inner", suffix: str = "_right", ranges: int | None = None) -> DataFrame:
@@ -36,7 +62,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: tuple[st
         raise ValueError(f"as-of joins are inner or left, not {how!r}")
     on = list(on)
     if ranges is None:
-        ranges = 1 if on else int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = _ranges_for(left, right, on) if on else int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     backward = op in (">=", ">")
     names = [c for c in right.columns if c not in on]
     renamed = {c: f"{c}{suffix}" if c in left.columns else c for c in names}

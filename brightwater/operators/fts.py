@@ -1,4 +1,10 @@
-"""Full-text search with BM25 over an inverted index kept as DataFrames."""
+"""Full-text search with BM25.
+
+An index is lazy: a search counts the tokens of each document in place and takes only occurrences of
+words that can have a term of the query through a shuffle. ``build`` keeps all postings as a table, dealt
+by term, for many searches. Stemmers: ``english`` (Snowball's revision of Porter's algorithm) and
+``porter`` (the original); asking for another of the dialect's is an error, not a silent no-op.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,8 @@ import re
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,12 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.expr import col
+from ..plans.session import cut
 
-# Names of the stemmers that indexes may ask for; English is implemented, the rest keep words whole
+# Names of the stemmers that indexes of the dialect may ask for
 STEMMERS = (
     "arabic basque catalan danish dutch english finnish french german greek hindi hungarian indonesian irish italian lithuanian "
     "nepali norwegian porter portuguese romanian russian serbian spanish swedish tamil turkish none"
 ).split()
+IMPLEMENTED = ("english", "porter", "none")
 
 # Common English function words
 STOPWORDS = frozenset(
@@ -108,6 +118,93 @@ def porter(word: str) -> str:
     return w
 
 
+# Endings, doubles and words of the published revision of the algorithm
+_SNOWBALL_FIXED = {"skis": "ski", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+_SNOWBALL_AFTER_1A = "inning outing canning herring earring proceed exceed succeed".split()
+_SNOWBALL_R1 = "gener commun arsen".split()
+_SNOWBALL_2 = "ational:ate tional:tion enci:ence anci:ance abli:able entli:ent izer:ize ization:ize ation:ate ator:ate alism:al aliti:al alli:al fulness:ful ousli:ous ousness:ous iveness:ive iviti:ive biliti:ble bli:ble ogi:og fulli:ful lessli:less li:".split()
+_SNOWBALL_3 = "ational:ate tional:tion alize:al icate:ic iciti:ic ical:ic ful: ness: ative:".split()
+_SNOWBALL_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+_LI = "cdeghkmnrt"
+
+
+def _region(w: str, begin: int) -> int:
+    """Where the part behind the first consonant that follows a vowel begins."""
+    m = re.compile("[aeiouy][^aeiouy]").search(w, begin)
+    return m.end() if m else len(w)
+
+
+def _short_end(w: str) -> bool:
+    return bool(re.search("(^|[^aeiouy])[aeiouy][^aeiouywxY]$", w) and len(w) > 2) or bool(re.fullmatch("[aeiouy][^aeiouy]", w))
+
+
+def snowball(word: str) -> str:
+    """The stem of an English word by the revised algorithm."""
+    if len(word) <= 2:
+        return word
+    if word in _SNOWBALL_FIXED:
+        return _SNOWBALL_FIXED[word]
+    w = re.sub("(?<=[aeiouy])y", "Y", "Y" + word[1:] if word[0] == "y" else word)
+    head = next((x for x in _SNOWBALL_R1 if w.startswith(x)), None)
+    r1 = len(head) if head else _region(w, 0)
+    r2 = _region(w, r1)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search("[aeiouy]", w[:-2]):
+        w = w[:-1]
+    if w in _SNOWBALL_AFTER_1A:
+        return w
+    if w.endswith(("eed", "eedly")):
+        cut_at = len(w) - (3 if w.endswith("eed") else 5)
+        if cut_at >= r1:
+            w = w[:cut_at] + "ee"
+    else:
+        for end in ("ingly", "edly", "ing", "ed"):
+            if w.endswith(end):
+                stem = w[: -len(end)]
+                if re.search("[aeiouy]", stem):
+                    if stem.endswith(("at", "bl", "iz")):
+                        stem += "e"
+                    elif stem.endswith(_DOUBLES):
+                        stem = stem[:-1]
+                    elif len(stem) <= r1 and _short_end(stem):
+                        stem += "e"
+                    w = stem
+                break
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
+        w = w[:-1] + "i"
+    for rule in sorted(_SNOWBALL_2, key=lambda r: -len(r.split(":")[0])):
+        old, new = rule.split(":")
+        if w.endswith(old):
+            at = len(w) - len(old)
+            if at >= r1 and (old != "ogi" or w[at - 1 : at] == "l") and (old != "li" or w[at - 1 : at] in list(_LI)):
+                w = w[:at] + new
+            break
+    for rule in sorted(_SNOWBALL_3, key=lambda r: -len(r.split(":")[0])):
+        old, new = rule.split(":")
+        if w.endswith(old):
+            at = len(w) - len(old)
+            if at >= (r2 if old == "ative" else r1):
+                w = w[:at] + new
+            break
+    for old in sorted(_SNOWBALL_4, key=len, reverse=True):
+        if w.endswith(old):
+            at = len(w) - len(old)
+            if at >= r2 and (old != "ion" or w[at - 1 : at] in ("s", "t")):
+                w = w[:at]
+            break
+    if w.endswith("e"):
+        at = len(w) - 1
+        if at >= r2 or (at >= r1 and not _short_end(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.replace("Y", "y")
+
+
 def plain_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
@@ -122,6 +219,12 @@ class Analyzer:
     def __post_init__(self) -> None:
         if self.stemmer not in STEMMERS:
             raise ValueError(f"unknown stemmer {self.stemmer!r}")
+        if self.stemmer not in IMPLEMENTED:
+            raise ValueError(f"the stemmer {self.stemmer!r} is not implemented, only {', '.join(IMPLEMENTED)}")
+
+    @property
+    def stem(self):
+        return {"english": snowball, "porter": porter, "none": None}[self.stemmer]
 
     @property
     def stops(self) -> frozenset[str]:
@@ -133,11 +236,11 @@ class Analyzer:
         t = plain_text(text) if self.strip_accents else text
         t = t.lower() if self.lower else t
         words = [w for w in re.split(r"[^a-z]+", t) if w and w not in self.stops]
-        return sorted({porter(w) for w in words} if self.stemmer in ("english", "porter") else set(words))
+        return sorted(set(map(self.stem, words)) if self.stem else set(words))
 
 
 class FtsIndex:
-    """postings (id, field, term, tf), terms (term, df) and doc lengths, from one pass over the texts."""
+    """``words`` (id, field, words: the tokens that count), and postings (id, field, term, tf) once built."""
 
     def __init__(self, df: DataFrame, id_col: str, text_cols: Sequence[str], analyzer: Analyzer):
         self.df, self.id_col, self.text_cols, self.analyzer = df, id_col, list(text_cols), analyzer
@@ -147,25 +250,57 @@ class FtsIndex:
             text = _strip_accents(text)
         if analyzer.lower:
             text = F.lower(text)
-        words = F.filter(F.split(text, "[^a-z]+"), lambda w: w != "")
-        terms = long.where("text IS NOT NULL").select("__id", "field", F.explode(words).alias("term"))
-        stops = sorted(analyzer.stops)
-        if stops:
-            terms = terms.where(~F.col("term").isin(stops))
-        counted = terms.groupBy("__id", "field", "term").agg(F.count("*").alias("tf"))
-        if analyzer.stemmer in ("english", "porter"):  # each distinct (document, word) is stemmed once
-            counted = counted.withColumn("term", _stem(F.col("term"))).groupBy("__id", "field", "term").agg(F.sum("tf").alias("tf"))
-        self.postings = counted.persist()
-        self.lengths = self.postings.groupBy("__id").agg(F.sum("tf").alias("len"))
+        words, stops = F.split(text, "[^a-z]+"), sorted(analyzer.stops)
+        counts = (lambda w: (w != "") & ~w.isin(stops)) if stops else (lambda w: w != "")
+        self.words = long.where("text IS NOT NULL").select("__id", "field", F.filter(words, counts).alias("words"))
+        self.kept: DataFrame | None = None
+        self.kept_lengths: DataFrame | None = None
+
+    def _postings(self, words: DataFrame) -> DataFrame:
+        counted = words.select("__id", "field", F.explode("words").alias("term")).groupBy("__id", "field", "term").agg(F.count("*").alias("tf"))
+        if self.analyzer.stem is None:
+            return counted
+        # each distinct (document, word) is stemmed once
+        return counted.withColumn("term", _stem(self.analyzer.stemmer)(F.col("term"))).groupBy("__id", "field", "term").agg(F.sum("tf").alias("tf"))
+
+    def postings(self, terms: Sequence[str] | None = None) -> DataFrame:
+        """Occurrences of ``terms`` (of all terms by default)."""
+        if self.kept is not None:
+            return self.kept if terms is None else self.kept.where(F.col("term").isin(list(terms)))
+        if terms is None:
+            return self._postings(self.words)
+        if self.analyzer.stem is None:
+            may = lambda w: w.isin(list(terms))
+        else:  # a stem begins as its words do, but for its last letter
+            heads = sorted({t[: max(1, len(t) - 2)] for t in terms})
+            may = lambda w: reduce(or_, [w.startswith(h) for h in heads])
+        some = self.words.withColumn("words", F.filter("words", may)).where(F.size("words") > 0)
+        return self._postings(some).where(F.col("term").isin(list(terms)))
+
+    @property
+    def lengths(self) -> DataFrame:
+        if self.kept_lengths is not None:
+            return self.kept_lengths
+        return self.words.groupBy("__id").agg(F.sum(F.size("words")).alias("len")).where("len > 0")
+
+    def build(self) -> FtsIndex:
+        """Keep postings, dealt by term, and lengths as tables in the shared folder."""
+        if self.kept is None:
+            self.kept, self.kept_lengths = cut(self._postings(self.words).repartition("term").sortWithinPartitions("term")), cut(self.lengths)
+        return self
 
     def close(self) -> None:
-        self.postings.unpersist()
+        self.kept = self.kept_lengths = None
 
 
-@F.pandas_udf(StringType())
-def _stem(words: pd.Series) -> pd.Series:
-    distinct = {w: porter(w) for w in words.unique()}
-    return words.map(distinct)
+def _stem(stemmer: str):
+    own = {"english": snowball, "porter": porter}[stemmer]
+
+    @F.pandas_udf(StringType())
+    def stem(words: pd.Series) -> pd.Series:
+        return words.map({w: own(w) for w in words.unique()})
+
+    return stem
 
 
 @F.pandas_udf(StringType())
@@ -173,12 +308,13 @@ def _strip_accents(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else plain_text(t))
 
 
-def create_index(df: DataFrame, id_col: str, text_cols: Sequence[str] | str, **options: object) -> FtsIndex:
+def create_index(df: DataFrame, id_col: str, text_cols: Sequence[str] | str, build: bool = False, **options: object) -> FtsIndex:
     cols = [text_cols] if isinstance(text_cols, str) else list(text_cols)
     missing = [c for c in [id_col, *cols] if c not in df.columns]
     if missing:
         raise ValueError(f"no such columns: {missing}")
-    return FtsIndex(df, id_col, cols, Analyzer(**options))
+    index = FtsIndex(df, id_col, cols, Analyzer(**options))
+    return index.build() if build else index
 
 
 def search(index: FtsIndex | None, text: str, limit: int | None = None, fields: Sequence[str] | None = None, k: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -186,14 +322,14 @@ def search(index: FtsIndex | None, text: str, limit: int | None = None, fields:
     if not isinstance(index, FtsIndex):
         raise ValueError("no index: call create_index first")
     terms = index.analyzer.query_terms(text)
-    total = index.df.select(col(index.id_col)).agg(F.count("*").alias("n"))
-    mean = index.lengths.agg(F.sum("len").alias("words"))
-    hits = index.postings.where(F.col("term").isin(terms)) if terms else index.postings.where("false")
+    hits = index.postings(terms) if terms else index.postings().where("false")
     if fields:
         hits = hits.where(F.col("field").isin(list(fields)))
     per = hits.groupBy("__id", "term").agg(F.sum("tf").alias("tf"))
     df = per.groupBy("term").agg(F.count("*").alias("df"))
-    scored = per.join(F.broadcast(df), "term").join(index.lengths, "__id").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(mean))  # one row per query term; single rows
+    lengths = index.lengths
+    total = index.df.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("len").alias("words")))  # single rows
+    scored = per.join(F.broadcast(df), "term").join(lengths, "__id").crossJoin(F.broadcast(total))  # one row per query term; a single row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + k * (1 - b + b * F.col("len") / (F.col("words") / F.col("n")))
     scores = scored.groupBy("__id").agg(F.sum(idf * F.col("tf") * (k + 1) / norm).alias("fts_score"))

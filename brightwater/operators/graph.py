@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import col
@@ -16,6 +16,9 @@ from ..plans.events import emit, span
 from ..plans.session import cut
 
 
+FEW_VERTICES = 500_000  # of (id, number) rows: about 16 MB
+
+
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -23,17 +26,21 @@ class Graph:
     vertex_id: str = "id"
     edge_src: str = "src"
     edge_dst: str = "dst"
+    from_edges: bool = False  # the vertices are the ends of the edges
 
     @classmethod
     def from_edgelist(cls, edges: DataFrame, edge_src: str = "src", edge_dst: str = "dst", vertex_id: str = "id") -> Graph:
         ends = edges.select(col(edge_src).alias(vertex_id)).union(edges.select(col(edge_dst).alias(vertex_id)))
-        return cls(ends.where(col(vertex_id).isNotNull()).distinct(), edges, vertex_id, edge_src, edge_dst)
+        return cls(ends.where(col(vertex_id).isNotNull()).distinct(), edges, vertex_id, edge_src, edge_dst, True)
 
     def distribute(self, workers: object = None) -> Graph:
         """Spark distributes as it is; kept so that pipelines read the same."""
         return self
 
-    def _ids(self) -> DataFrame:
+    def _ids(self, pairs: DataFrame | None = None) -> DataFrame:
+        """Distinct vertices; ``pairs`` (s, d), all edges at hand, spare another run of the edges' query where they tell."""
+        if pairs is not None and self.from_edges:
+            return pairs.select(F.explode(F.array("s", "d")).alias("v")).where("v IS NOT NULL").distinct()
         return self.vertices.select(col(self.vertex_id).alias("v")).distinct()
 
     def _pairs(self) -> DataFrame:
@@ -72,17 +79,19 @@ class Graph:
         runs all iterations.
         """
         with span(("graph", "algorithm"), algorithm="pagerank"):
-            n = self.vertex_count()
+            # parallel edges are one row with a share; edges with one end only name a vertex
+            counted = cut(self.edges.groupBy(col(self.edge_src).alias("s"), col(self.edge_dst).alias("d")).agg(F.count("*").alias("c")))
+            ids = cut(self._ids(counted))
+            n = ids.count()
             if not n:
                 return self.vertices.select(col(self.vertex_id), F.lit(0.0).alias("rank")).limit(0)
-            edges = self._pairs()
-            out = edges.groupBy("s").agg(F.count("*").alias("n"))
-            # parallel edges are one row with a share; the source key stays partitioned for all iterations
-            shares = cut(edges.groupBy("s", "d").agg(F.count("*").alias("c")).join(out, "s").select("s", "d", (F.col("c") / F.col("n")).alias("share")))
-            ids = cut(self._ids())
+            whole = counted.where("s IS NOT NULL AND d IS NOT NULL")
+            out = whole.groupBy("s").agg(F.sum("c").alias("n"))
+            shares = cut(whole.join(out, "s").select("s", "d", (F.col("c") / F.col("n")).alias("share")))
             ranks = ids.select("v", F.lit(1.0 / n).alias("rank"))
+            sized = F.broadcast if n <= FEW_VERTICES else (lambda df: df)  # then the shares stay where they are
             for i in range(max_iterations):
-                sums = shares.join(ranks, shares["s"] == ranks["v"]).groupBy("d").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+                sums = shares.join(sized(ranks), shares["s"] == ranks["v"]).groupBy("d").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
                 new = ids.join(sums, ids["v"] == sums["d"], "left").select("v", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
                 delta = None
                 if tolerance and i >= 1:
@@ -162,11 +171,33 @@ class Graph:
             return labels.select(F.col("v").alias(self.vertex_id), F.col("label").alias("community"))
 
     def triangles(self) -> DataFrame:
-        """Distinct (a, b, c), a < b < c, with edges a to b, b to c and c to a."""
-        e = self._pairs().distinct()
-        up = e.where("s < d")
-        ab, bc, ca = up.toDF("a", "b"), up.toDF("b", "c"), e.where("s > d").toDF("c", "a")
-        return ab.join(bc, "b").join(ca, ["a", "c"]).select("a", "b", "c").distinct()
+        """Distinct (a, b, c), a < b < c, with edges a to b, b to c and c to a.
+
+        Linked vertices are pairs that go from the end of less degree to the other (ties by id). The two
+        pairs that leave a triangle's first corner make a wedge there, and a third pair closes it: each
+        triangle comes once, and no vertex has more than the root of twice the pairs going out, so hubs
+        make no large products.
+        """
+        e = self._pairs().where("s <> d")
+        up = F.col("s") < F.col("d")
+        pairs = cut(e.groupBy(F.least("s", "d").alias("lo"), F.greatest("s", "d").alias("hi")).agg(F.max(up).alias("up"), F.max(~up).alias("down")))
+        degree = cut(pairs.select(F.explode(F.array("lo", "hi")).alias("v")).groupBy("v").agg(F.count("*").alias("n")))
+        ends = pairs.join(degree.toDF("lo", "nl"), "lo").join(degree.toDF("hi", "nh"), "hi")
+        low, high = F.struct(F.col("nl").alias("n"), F.col("lo").alias("v")), F.struct(F.col("nh").alias("n"), F.col("hi").alias("v"))
+        way = cut(ends.select(F.least(low, high).alias("x"), F.greatest(low, high).alias("y"), "up", "down").select(F.col("x.v").alias("x"), "y", "up", "down"))
+        one = way.select("x", "y", F.col("up").alias("up1"), F.col("down").alias("down1"))
+        two = way.select("x", F.col("y").alias("z"), F.col("up").alias("up2"), F.col("down").alias("down2"))
+        x, y, z = F.col("x"), F.col("y.v"), F.col("z.v")
+
+        def fits(a: Column, b: Column, other: Column, up: str, down: str) -> Column:
+            """The pair of the least and the greatest corner needs the way down, any other the way up."""
+            return F.when((other > F.least(a, b)) & (other < F.greatest(a, b)), F.col(down)).otherwise(F.col(up))
+
+        wedges = one.join(two, "x").where(F.col("y") < F.col("z")).where(fits(x, y, z, "up1", "down1") & fits(x, z, y, "up2", "down2"))
+        closing = way.select(F.col("x").alias("p"), F.col("y.v").alias("q"), "up", "down")
+        closed = wedges.select(x.alias("x"), y.alias("p"), z.alias("q")).join(closing, ["p", "q"]).where(fits(F.col("p"), F.col("q"), F.col("x"), "up", "down"))
+        corners = F.array_sort(F.array("x", "p", "q"))
+        return closed.select(corners.alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
     def triangle_count(self) -> int:
         with span(("graph", "algorithm"), algorithm="triangle_count"):
@@ -176,14 +207,15 @@ class Graph:
         """(id, bc) by Brandes' algorithm, all sampled sources level by level in one table.
 
         Edges are taken both ways. State is one row per (source, reached vertex): paths are counted
-        forward by level, dependencies summed backward.
+        forward by level, dependencies summed backward. Sources are sampled in the order of a digest of
+        ``seed`` and the id, so a sample is the same everywhere.
         """
         with span(("graph", "algorithm"), algorithm="betweenness_centrality"):
             ids = cut(self._ids())
             n = ids.count()
             size = min(n, 100) if sample is None else min(sample, n)
             edges = cut(self._both().where("s <> d"))
-            sources = cut(ids.orderBy(F.xxhash64(F.lit(seed), F.col("v")), "v").limit(size)) if size < n else ids
+            sources = cut(ids.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("v").cast("string"))), "v").limit(size)) if size < n else ids
             levels = [cut(sources.select(F.col("v").alias("src"), "v", F.lit(1.0).alias("sigma")))]
             seen = levels[0].select("src", "v")
             while True:
@@ -214,5 +246,3 @@ class Graph:
             for p in parts:
                 out = out.unionByName(p)
             return out.groupBy(F.col("v").alias(self.vertex_id)).agg((F.sum("delta") * scale).alias("bc"))
-
-

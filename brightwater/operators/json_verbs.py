@@ -31,8 +31,10 @@ def unnest(df: DataFrame, column: str, path: str | None = None, as_: str | None
     return spread.select(*[col(c) for c in df.columns], F.col("__value").alias(out))
 
 
-def expand(df: DataFrame, column: str) -> DataFrame:
-    """One text column per distinct top-level key, in order of name; finding the keys runs a job."""
-    keys = df.where(col(column).isNotNull()).select(F.explode(F.json_object_keys(col(column))).alias("k")).distinct().orderBy("k").limit(MOST_KEYS)
+def expand(df: DataFrame, column: str, most: int = MOST_KEYS) -> DataFrame:
+    """One text column per distinct top-level key, in order of name; finding the keys runs a job. More than ``most`` keys are an error."""
+    keys = df.where(col(column).isNotNull()).select(F.explode(F.json_object_keys(col(column))).alias("k")).distinct().orderBy("k").limit(most + 1)
     found = [r["k"] for r in keys.collect()]
+    if len(found) > most:
+        raise ValueError(f"{column!r} has more than {most} keys: name the ones wanted with json_extract, or raise most")
     return df.withColumns({k: F.get_json_object(col(column), f"$['{k}']" if not k.isidentifier() else f"$.{k}") for k in found})

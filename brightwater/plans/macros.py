@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.dialect import MACROS, literal, substitute, tokens, translate
+from ..functions.dialect import MACROS, literal, substitute, tokens
 
 
 def define(name: str, params: Sequence[str], body: str) -> None:
@@ -40,7 +40,7 @@ def expand_tables(text: str) -> str:
     """Calls of table macros in a query, ``FROM m(1, 'x')``, become subqueries."""
     from ..functions.dialect import _call_args, _translate
 
-    toks, out, i = tokens(text), [], 0
+    toks, out, subqueries, i = tokens(text), [], [], 0
     while i < len(toks):
         kind, t = toks[i]
         if kind == "name" and t.lower() in MACROS.tables and i + 1 < len(toks) and toks[i + 1][1] == "(":
@@ -49,20 +49,21 @@ def expand_tables(text: str) -> str:
             if len(params) != len(args):
                 raise ValueError(f"macro {t} takes {len(params)} arguments, not {len(args)}")
             values = {p: _translate(a, (), MACROS, 0).strip() for p, a in zip(params, args, strict=True)}
-            out.append("(" + substitute(body, values, MACROS) + ")")
+            out.append(("mark", f"__table{len(subqueries)}__"))
+            subqueries.append("(" + substitute(body, values, MACROS) + ")")
             i = after
             continue
-        out.append(_translate([toks[i]], (), MACROS, 0) if kind in ("string", "quoted") else t)
+        out.append(toks[i])
         i += 1
-    return "".join(out)
+    whole = _translate(out, (), MACROS, 0)  # the dialect holds beside the macro too
+    for n, sub in enumerate(subqueries):
+        whole = whole.replace(f"__table{n}__", sub)
+    return whole
 
 
 def query_text(text: str) -> str:
     """A dialect query as Spark SQL, macros expanded."""
-    if any(k == "name" and t.lower() in MACROS.tables for k, t in tokens(text)):
-        text = expand_tables(text)
-        return text
-    return translate(text)
+    return expand_tables(text)
 
 
 def undefine(name: str) -> None:

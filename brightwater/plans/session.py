@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,8 @@ def session(app: str = "brightwater", master: str | None = None, memory_limit: s
     if temp_directory is not None and (not temp_directory.startswith("/") or re.search(r"['\";\n\0]", temp_directory)):
         raise ValueError(f"not a directory: {temp_directory!r}")
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # sides whose partitions turn out small are joined by hash, without sorting the other side
+    b = b.config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     if master:
         b = b.master(master)
     if memory_limit:
@@ -30,14 +34,40 @@ def session(app: str = "brightwater", master: str | None = None, memory_limit: s
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; a local one only where nothing is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brightwater-"))
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where nothing is set, a local one if everything runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='brightwater-')}"
+    return _own_dirs[app]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session is gone; the folder belongs to it
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and cut its lineage there; it goes with the process."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/brightwater/cut-{uuid.uuid4().hex}"
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # any name is allowed, also one that occurs twice
+    named.write.parquet(path)
+    atexit.register(_drop_quietly, spark, path)
+    return spark.read.schema(named.schema).parquet(path).toDF(*df.columns)

@@ -3,27 +3,46 @@
 from __future__ import annotations
 
 import datetime as dt
-import glob
 import os
-import shutil
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dialect import quote_name, spark_type
+from ..functions.dialect import quote_name, spark_type, tokens
 from ..functions.expr import col
 from ..plans.events import span
 from ..plans.macros import query_text
+from ..plans.session import delete
 from . import xlsx
 
-CSV_OPTIONS = ("delimiter", "header", "skip", "null_padding", "auto_detect", "nullstr", "types", "columns")
+CSV_OPTIONS = ("delimiter", "header", "skip", "null_padding", "auto_detect", "nullstr", "types", "columns", "multiline")
 EXCEL_OPTIONS = ("sheet", "range", "header", "all_varchar", "ignore_errors", "empty_as_varchar", "stop_at_empty")
 
 
 def from_query(spark: SparkSession, text: str) -> DataFrame:
-    return spark.sql(query_text(text))
+    return spark.sql(query_text(with_globs(spark, text)))
+
+
+def files_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that match a pattern, on any file system that Spark reaches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
+def with_globs(spark: SparkSession, text: str) -> str:
+    """``FROM glob('pattern')`` as the table (file) of what matches now."""
+    toks = [x for x in tokens(text)]
+    for i in range(len(toks) - 3):
+        if toks[i][0] == "name" and toks[i][1].lower() == "glob" and [toks[i + 1][1], toks[i + 2][0], toks[i + 3][1]] == ["(", "string", ")"]:
+            found = files_like(spark, toks[i + 2][1][1:-1].replace("''", "'"))
+            rows = ", ".join("('" + f.replace("'", "''") + "')" for f in found)
+            table = f"(SELECT file FROM VALUES {rows} AS g(file))" if found else "(SELECT CAST(NULL AS STRING) AS file WHERE FALSE)"
+            toks[i : i + 4] = [("op", table), *[("space", "")] * 3]
+    return "".join(t for _, t in toks)
 
 
 def from_list(spark: SparkSession, rows: Sequence[Mapping[str, object]]) -> DataFrame:
@@ -44,17 +63,22 @@ def from_list(spark: SparkSession, rows: Sequence[Mapping[str, object]]) -> Data
 
 
 def from_csv(spark: SparkSession, path: str, **opts: object) -> DataFrame:
-    """delimiter, header, skip (lines), nullstr, types ({name: type}), columns (names), auto_detect, null_padding."""
+    """delimiter, header, skip (lines), nullstr, types ({name: type}), columns (names), auto_detect, null_padding, multiline.
+
+    Values with line breaks need ``multiline``, with which a file is one task. By default the lines are
+    looked at first: where none has an odd number of quotes, no value goes over one, and files are split.
+    """
     unknown = set(opts) - set(CSV_OPTIONS)
     if unknown:
         raise ValueError(f"unknown CSV options {sorted(unknown)}")
     nulls = opts.get("nullstr", "")
     nulls = [nulls] if isinstance(nulls, str) else list(nulls)
-    r = spark.read.option("header", bool(opts.get("header", True))).option("sep", opts.get("delimiter", ",")).option("inferSchema", opts.get("auto_detect", True) is not False).option("nullValue", nulls[0]).option("multiLine", not opts.get("skip")).option("escape", '"').option("mode", "PERMISSIVE")
+    r = spark.read.option("header", bool(opts.get("header", True))).option("sep", opts.get("delimiter", ",")).option("inferSchema", opts.get("auto_detect", True) is not False).option("nullValue", nulls[0]).option("escape", '"').option("mode", "PERMISSIVE")
     if opts.get("skip"):
         df = _skipping(spark, r, path, int(opts["skip"]))
     else:
-        df = r.csv(path)
+        multiline = opts.get("multiline")
+        df = r.option("multiLine", breaks_lines(spark, path) if multiline is None else bool(multiline)).csv(path)
     if opts.get("columns"):
         df = df.toDF(*opts["columns"])
     for extra in nulls[1:]:
@@ -64,13 +88,25 @@ def from_csv(spark: SparkSession, path: str, **opts: object) -> DataFrame:
     return df
 
 
+def breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may go over a line: some line has an odd number of quotes."""
+    quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+MOST_FILES = 100_000
+
+
 def _skipping(spark: SparkSession, reader, path: str, n: int) -> DataFrame:
     """Leave out the first ``n`` lines of each file. Lines are read one by one, so none spans two."""
     lines = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
     # the first lines of a file are in its first partition: the least ids of the file
     heads = lines.groupBy("f").agg(F.min("i").alias("first"))
-    kept = lines.join(F.broadcast(heads), "f").where(F.col("i") >= F.col("first") + n)  # one row per file
-    return reader.csv(kept.orderBy("f", "i").select("value").rdd.map(lambda r: r[0]))
+    few = len(spark.read.text(path).inputFiles()) <= MOST_FILES  # then a row per file may be sent to all, and lines keep their order
+    kept = lines.join(F.broadcast(heads) if few else heads, "f").where(F.col("i") >= F.col("first") + n)
+    kept = kept if few else kept.orderBy("i")
+    texts = getattr(kept.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(texts), spark)
 
 
 def from_parquet(spark: SparkSession, path: str | Sequence[str], hive_partitioning: bool = True, union_by_name: bool = False) -> DataFrame:
@@ -131,20 +167,23 @@ def _as(value: object, kind: type, lenient: bool) -> object:
 
 
 def _single_file(df: DataFrame, path: str, kind: str, **options: object) -> None:
-    """One file at ``path``: written by Spark to a folder beside it, then moved."""
-    tmp = f"{path}.writing"
-    shutil.rmtree(tmp, ignore_errors=True)
+    """One file at ``path``: Spark writes a folder beside it, and its one part is moved, on the target's own file system."""
+    spark = df.sparkSession
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    target, folder = new(path), f"{path}.writing-{uuid.uuid4().hex}"
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        df.coalesce(1).write.options(**options).format(kind).save(f"file://{os.path.abspath(tmp)}")
-        part = next(iter(sorted(glob.glob(f"{tmp}/part-*"))), None)
-        if part is None:
-            open(path, "w").close()
-        else:
-            os.replace(part, path)
-    except OSError as e:
-        raise ValueError(f"write failed: {e}") from e
+        df.coalesce(1).write.options(**options).format(kind).save(folder)
+        parts = files.globStatus(new(f"{folder}/part-*")) or ()
+        if len(parts) != 1:
+            raise ValueError(f"write failed: {len(parts)} files in {folder}")
+        files.delete(target, True)
+        if not files.rename(parts[0].getPath(), target):
+            raise ValueError(f"write failed: the file can't be moved to {path}")
+        if files.getScheme() == "file":  # the checksum of the file that was there before
+            files.delete(new(target.getParent(), f".{target.getName()}.crc"), False)
     finally:
-        shutil.rmtree(tmp, ignore_errors=True)
+        delete(spark, folder)
 
 
 def to_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, single_file: bool = True) -> None:
@@ -176,7 +215,13 @@ def to_excel(df: DataFrame, path: str) -> None:
 
 
 def insert_into(df: DataFrame, table: str, create: bool = False) -> None:
+    """Append to a table, or make it; ``name.table`` of an attached database goes there, written by all executors."""
     spark = df.sparkSession
+    if table.split(".")[0] in ATTACHED.entries:
+        db, _, name = table.partition(".")
+        with span(("io", "write"), format="attached", path=table):
+            ATTACHED.insert_into(df, db, name, create)
+        return
     with span(("io", "write"), format="table", path=table):
         if create:
             df.write.saveAsTable(table)
@@ -193,8 +238,8 @@ def exec_sql(spark: SparkSession, text: str) -> DataFrame:
 class Attached:
     """External databases by name: JDBC sources or Spark catalogs, and credentials for stores."""
 
-    KINDS = ("postgres", "mysql", "sqlite", "duckdb", "iceberg", "delta", "ducklake")
-    DRIVERS = {"postgres": ("jdbc:postgresql://", "org.postgresql.Driver"), "mysql": ("jdbc:mysql://", "com.mysql.cj.jdbc.Driver"), "sqlite": ("jdbc:sqlite:", "org.sqlite.JDBC"), "duckdb": ("jdbc:duckdb:", "org.duckdb.DuckDBDriver")}
+    KINDS = ("postgres", "mysql", "sqlite", "duckdb", "jdbc", "iceberg", "delta", "ducklake")
+    DRIVERS = {"postgres": ("jdbc:postgresql://", "org.postgresql.Driver"), "mysql": ("jdbc:mysql://", "com.mysql.cj.jdbc.Driver"), "sqlite": ("jdbc:sqlite:", "org.sqlite.JDBC"), "duckdb": ("jdbc:duckdb:", "org.duckdb.DuckDBDriver"), "jdbc": ("jdbc:", "")}
 
     def __init__(self) -> None:
         self.entries: dict[str, dict] = {}
@@ -218,24 +263,40 @@ class Attached:
         own = {k: v for k, v in fields.items() if k in known and v is not None}
         if password_env:
             own["password"] = os.environ[password_env]
+        self.drop_secret(name)
         self.secrets[name] = {"type": type, **own}
+        if spark := SparkSession.getActiveSession():
+            self.use_secrets(spark)
+
+    def use_secrets(self, spark: SparkSession) -> None:
+        """Put the settings of all secrets for stores into the session; new ones go there by themselves."""
+        conf = spark._jsc.hadoopConfiguration()
+        for name in self.secrets:
+            for k, v in self.hadoop_conf(name).items():
+                conf.set(k, v)
 
     def drop_secret(self, name: str) -> None:
+        spark = SparkSession.getActiveSession()
+        if name in self.secrets and spark:
+            for k in self.hadoop_conf(name):
+                spark._jsc.hadoopConfiguration().unset(k)
         self.secrets.pop(name, None)
 
     def hadoop_conf(self, name: str) -> dict[str, str]:
         """Settings that a secret means for the store it is for."""
         s = self.secrets[name]
         if s["type"] == "s3":
-            pairs = {"fs.s3a.access.key": s.get("key_id"), "fs.s3a.secret.key": s.get("secret"), "fs.s3a.endpoint.region": s.get("region"), "fs.s3a.endpoint": s.get("endpoint")}
-            return {k: str(v) for k, v in pairs.items() if v}
+            bucket = str(s.get("scope") or "").removeprefix("s3://").removeprefix("s3a://").split("/")[0]
+            head = f"fs.s3a.bucket.{bucket}." if bucket else "fs.s3a."
+            pairs = {"access.key": s.get("key_id"), "secret.key": s.get("secret"), "endpoint.region": s.get("region"), "endpoint": s.get("endpoint")}
+            return {head + k: str(v) for k, v in pairs.items() if v}
         return {}
 
     def jdbc_options(self, db: str, table: str) -> dict[str, str]:
         e = self.entries[db]
         prefix, driver = self.DRIVERS[e["type"]]
         url = e["path"] if e["path"].startswith("jdbc:") else prefix + e["path"].removeprefix(f"{e['type']}://")
-        out = {"url": url, "dbtable": table, "driver": driver}
+        out = {"url": url, "dbtable": table, **({"driver": driver} if driver else {})}
         for s in self.secrets.values():
             if s["type"] == e["type"]:
                 out |= {k: str(s[k]) for k in ("user", "password") if k in s}
@@ -260,6 +321,18 @@ class Attached:
             return spark.read.format("jdbc").options(**opts).load()
         return spark.sql(f"SELECT * FROM {self.table_name(db, table, None if partition_by else version, None if partition_by else as_of)}")
 
+    def insert_into(self, df: DataFrame, db: str, table: str, create: bool = False) -> None:
+        """Append ``df``, every partition over a connection of its own; ``create`` makes the table first."""
+        e = self.entries[db]
+        if e["read_only"]:
+            raise ValueError(f"insert failed: {db!r} is attached read-only")
+        if e["type"] in self.DRIVERS:
+            df.write.format("jdbc").options(**self.jdbc_options(db, table)).mode("error" if create else "append").save()
+        elif create:
+            df.writeTo(self.table_name(db, table)).create()
+        else:
+            df.writeTo(self.table_name(db, table)).append()
+
     @staticmethod
     def hash_predicates(column: str, partitions: int) -> list[str]:
         """Disjoint conditions over whole-number keys, one per partition, that cover all rows."""
