@@ -26,10 +26,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a local one if everything runs on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='brightwater-')}"

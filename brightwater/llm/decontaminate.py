@@ -14,9 +14,11 @@ hash of its words and by the words themselves.
 Scale. Documents are never shuffled: each block of items, at most ``ITEM_BLOCK_WORDS`` words (about
 100 MB of tables), is sent to the executors and met by one pass over the documents; a larger
 benchmark is more blocks, so what is broadcast has a fixed bound. Shingle counts come from a first
-pass whose partial sums are added up by shingle. Hits of several blocks are merged per document.
+pass whose partial sums are added up by shingle. Hits of several blocks are merged per document, by 128
+bits of its id and text.
 
-Cases. Null text: no words, no hit. Items without words: no window. Repeated documents: a row each;
+Cases. Null or empty text: no words, no hit. Very long texts: whole. Null doc ids: kept. Items without
+words: no window. Ties between rarest shingles: the first. Repeated documents: a row each;
 an item id that repeats counts once, with the windows of all its rows. No benchmark rows: nothing hit. Null item ids: windows count for hits, not
 in the item list. Extra columns are ignored.
 """
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, byte_texts, hash_words, run_hashes
+from .common import blocks_of, byte_texts, hash_words, row_key, run_hashes
 
 WINDOW, SHINGLE = 10, 5
 ITEM_BLOCK_WORDS = 1_000_000
@@ -154,12 +156,12 @@ def _hit_partition(shared, counts):
                     n_words.append(len(words))
                     spans.append([{"s": s, "e": e} for s, e in _union(ranges)])
                     items.append(sorted({str(index.item_ids[i]) for i in found if index.item_ids[i] is not None}))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string())), part.column(2)], ["doc_id", "n_words", "spans", "items", "row"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string())), part.column(2), part.column(3)], ["doc_id", "n_words", "spans", "items", "row", "row2"])
 
     return run
 
 
-HITS = "doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, row long"
+HITS = "doc_id long, n_words long, spans array<struct<s:long,e:long>>, items array<string>, row long, row2 long"
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, list[bytes]]]]:
@@ -182,11 +184,12 @@ def shingle_counts(docs: DataFrame, shared, text_col: str) -> dict[int, int]:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, spans (merged word ranges), items (ids as strings), row."""
+    """One row per document: doc_id, n_words, n_hit, spans (merged word ranges), items (ids as strings)."""
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
     parts = []
-    for block in item_blocks(benchmark, item_col, item_text_col):
+    for block in item_blocks(benchmark, item_col, item_text_col):  # one block without rows if there are none
         shared = spark.sparkContext.broadcast(block)
         counts = spark.sparkContext.broadcast(shingle_counts(docs, shared, text_col) if block else {})
         parts.append(rows.mapInArrow(_hit_partition(shared, counts), HITS))
@@ -194,11 +197,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     if len(parts) > 1:
         for more in parts[1:]:
             out = out.unionByName(more)
-        out = out.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        # equal rows meet here, each once per block
+        copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int")))
+        out = out.groupBy("row", "row2", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("n")).withColumn("copy", copies)
         merge = "aggregate(array_sort(spans), struct(0L AS n, -1L AS e), (a, x) -> struct(a.n + greatest(0L, x.e - greatest(x.s, a.e)) AS n, greatest(a.e, x.e) AS e), a -> a.n)"
     else:
         merge = "aggregate(spans, 0L, (a, x) -> a + x.e - x.s)"
-    return out.select("doc_id", "n_words", F.expr(merge).alias("n_hit"), "spans", F.array_sort("items").alias("items"), "row")
+    return out.select("doc_id", "n_words", F.expr(merge).alias("n_hit"), "spans", F.array_sort("items").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:

@@ -88,6 +88,22 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(table(spark, sf_dir, "documents"))
 
 
+# Every window of 400 bytes by its digest; those that occur twice cover runs of bytes, what is left is put together in hex
+OP6_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5_number(hex(b[i : i + 399])) AS h FROM (SELECT r, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+hit AS MATERIALIZED (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+runs AS MATERIALIZED (SELECT r, min(i) AS lo, max(i) + 399 AS hi FROM (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM hit)) GROUP BY r, g),
+ends AS (SELECT r, lo, hi FROM runs UNION ALL SELECT r, octet_length(b) + 1, octet_length(b) + 1 FROM d),
+kept AS (SELECT r, lo, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo, hi), 0) + 1 AS a FROM ends),
+parts AS (SELECT k.r, string_agg(CASE WHEN k.lo > k.a THEN hex(b[k.a : k.lo - 1]) ELSE '' END, '' ORDER BY k.lo) AS x FROM kept k JOIN d USING (r) GROUP BY k.r),
+sums AS (SELECT r, sum(hi - lo + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256, octet_length(b)::BIGINT - coalesce(n_removed, 0) AS n_kept
+FROM d JOIN parts USING (r) LEFT JOIN sums USING (r)
+"""
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -169,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_mix": OP7_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op7_mix": OP7_SQL, "op9_decontaminate": OP9_SQL}

@@ -4,16 +4,18 @@ A host's canonical key is its labels in reverse, each followed by a dot: ``www.e
 ``com.example.www.``. A rule for a host fits that host and its subdomains, so it covers exactly the
 keys from ``com.example.`` up to, not including, ``com.example/`` (the next character after the
 dot): an interval. URLs and rules are dealt by ranges of the key and sorted; one sweep over each
-range keeps a stack of the nested rule hosts that are active at the current key, and for each URL the
-longest rule of the stack whose path starts the URL's path wins.
+range keeps a stack of the nested rule hosts that are active at the current key. The paths of a host
+nest as well: each is the interval of the paths that it starts. They are kept sorted, each with the
+next shorter one that holds it, so the longest path that starts a URL's is found by one search and a
+walk up that chain, however many rules the host has. The longest rule of the stack wins.
 
 Verdict without a rule: ``default`` ("allow": rules name what to block and its exceptions).
 
-Scale. Range bounds come from a bounded sample (the rows with the smallest hashes), which only
-steers balance. A bound holds key, path and row id, so URLs of one hot host spread over ranges. A
+Scale. Range bounds come from a sample, the rows whose hash is under a threshold that their number sets,
+``SAMPLE_PER_RANGE`` a range; it only steers balance. A bound holds key, path and row id, so URLs of one hot host spread over ranges. A
 rule is copied to the ranges that its interval meets: a broad one to many, a narrow one to one.
 
-Cases. Null URL or one without ``://``: empty host and path, no rule. Repeated pages: a row each.
+Cases. Null URL or one without ``://``: empty host and path, no rule. Very long URLs: whole. Null page ids: kept. Repeated pages: a row each.
 No rules or no pages: no rule fits, or no rows. Of equal rules the blocking one counts. Extra columns
 are ignored.
 """
@@ -54,6 +56,30 @@ def key_after(key: str) -> str:
     return key[:-1] + "/"
 
 
+class Paths:
+    """The paths of one host's rules as nested intervals."""
+
+    def __init__(self, rules: dict[str, tuple[str, str]]):
+        self.rules, self.sorted = rules, sorted(rules)
+        self.outer: list[int] = []  # the longest other path that starts this one
+        held: list[int] = []
+        for i, path in enumerate(self.sorted):
+            while held and not path.startswith(self.sorted[held[-1]]):
+                held.pop()
+            self.outer.append(held[-1] if held else -1)
+            held.append(i)
+
+    def __lt__(self, other: Paths) -> bool:
+        return False  # hosts differ
+
+    def longest(self, path: str) -> str | None:
+        """The longest of the paths that starts ``path``."""
+        at = bisect_right(self.sorted, path) - 1
+        while at >= 0 and not path.startswith(self.sorted[at]):
+            at = self.outer[at]
+        return self.sorted[at] if at >= 0 else None
+
+
 class Sweep:
     """Sorted URL keys against rules sorted by key: a stack of the nested hosts now active."""
 
@@ -64,9 +90,9 @@ class Sweep:
             paths = by_key.setdefault(key, {})
             if path not in paths or verdict == "block":
                 paths[path] = (text, verdict)
-        self.hosts = sorted((k, sorted(p.items(), key=lambda x: -len(x[0]))) for k, p in by_key.items())
+        self.hosts = sorted((k, Paths(p)) for k, p in by_key.items())
         self.next = 0
-        self.active: list[tuple[str, list]] = []
+        self.active: list[tuple[str, Paths]] = []
 
     def match(self, key: str, path: str) -> tuple[str, str] | None:
         """The longest fitting rule; calls must come in order of ``key``."""
@@ -80,11 +106,9 @@ class Sweep:
             self.active.pop()
         best, length = None, -1
         for host, paths in self.active:
-            for start, found in paths:
-                if path.startswith(start):
-                    if len(host) + len(start) >= length:
-                        best, length = found, len(host) + len(start)
-                    break
+            found = paths.longest(path)
+            if found is not None and len(host) + len(found) >= length:
+                best, length = paths.rules[found], len(host) + len(found)
         return best
 
 
@@ -121,8 +145,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     key = F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit("."))
     urls = hosts.withColumn("key", key)
     mark = F.coalesce(F.col("row").cast("string"), F.lit(""))
-    # a bounded sample: n * SAMPLE_PER_RANGE rows whatever the input holds
-    seen = urls.select("key", "path", mark.alias("mark")).orderBy(F.xxhash64("mark", "key", "path")).limit(n * SAMPLE_PER_RANGE).collect()
+    # the rows under a threshold of the hash: about n * SAMPLE_PER_RANGE of them; the limit only holds off copies of one row
+    wanted = n * SAMPLE_PER_RANGE
+    share = min(1.0, wanted / max(1, pages.count()))
+    spot = F.pmod(F.xxhash64("mark", "key", "path"), F.lit(1 << 30)) < int(share * (1 << 30))
+    seen = urls.select("key", "path", mark.alias("mark")).where(spot).limit(4 * wanted).collect()
     seen = sorted((r["key"], r["path"], r["mark"]) for r in seen)
     bounds = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
 

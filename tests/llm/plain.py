@@ -227,3 +227,47 @@ def streams(raw: bytes) -> list[str]:
 
 def starts_stream(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def read_container(data: bytes) -> list[dict]:
+    """Tracks of a plain ISO media file, unit by unit: codec, timescale, duration, units' and keyframes' (offset, bytes)."""
+
+    def boxes(begin: int, end: int) -> list[tuple]:
+        out = []
+        while begin < end:
+            size, kind = int.from_bytes(data[begin : begin + 4], "big"), data[begin + 4 : begin + 8]
+            head = 8
+            if size == 1:
+                size, head = int.from_bytes(data[begin + 8 : begin + 16], "big"), 16
+            out.append((kind, begin + head, begin + size if size else end))
+            begin = out[-1][2]
+        return out
+
+    def find(box: tuple, *path: bytes) -> list[tuple]:
+        got = [box]
+        for kind in path:
+            got = [x for b in got for x in boxes(b[1], b[2]) if x[0] == kind]
+        return got
+
+    word = lambda at, n=4: int.from_bytes(data[at : at + n], "big")
+    out = []
+    for trak in find((b"", 0, len(data)), b"moov", b"trak"):
+        stbl = {k: (a, e) for k, a, e in boxes(*find(trak, b"mdia", b"minf", b"stbl")[0][1:])}
+        at = find(trak, b"mdia", b"mdhd")[0][1]
+        scale, duration = (word(at + 20), word(at + 24, 8)) if data[at] else (word(at + 12), word(at + 16))
+        at = stbl[b"stsz"][0]
+        sizes = [word(at + 4) or word(at + 12 + 4 * i) for i in range(word(at + 8))]
+        at, wide = (stbl[b"stco"][0], 4) if b"stco" in stbl else (stbl[b"co64"][0], 8)
+        offsets = [word(at + 8 + wide * i, wide) for i in range(word(at + 4))]
+        at = stbl[b"stsc"][0]
+        runs = [(word(at + 8 + 12 * i), word(at + 12 + 12 * i)) for i in range(word(at + 4))]
+        units = []
+        for c, offset in enumerate(offsets, 1):
+            for _ in range([per for first, per in runs if first <= c][-1]):
+                if len(units) < len(sizes):
+                    units.append((offset, sizes[len(units)]))
+                    offset += units[-1][1]
+        at = stbl[b"stss"][0] if b"stss" in stbl else None
+        sync = [word(at + 8 + 4 * i) for i in range(word(at + 4))] if at else None
+        out.append({"codec": data[stbl[b"stsd"][0] + 12 : stbl[b"stsd"][0] + 16].decode(), "timescale": scale, "duration": duration, "units": units, "keyframes": sync and [units[s - 1] for s in sync]})
+    return out

@@ -90,3 +90,29 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     want = plain.token_rows([(m[0], m[5]) for m in mixed], tok)
     got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=lambda r: r[1])
     assert got == want
+
+
+def stage_inputs(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, plain.SCHEMA).selectExpr("*", "'own' AS row", "1 AS key", "doc_id AS component_id", "'x' AS kept", "2 AS copies")
+    for name, df in (("labels", spark.createDataFrame([(i, 1, 0) for i in range(38)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, "a b c d e"), (None, None), (2, "")], "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return docs
+
+
+def test_stages_take_nulls_empty_tables_and_further_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = plain.corpus()
+    docs = stage_inputs(spark, tmp_path, rows)
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, str(tmp_path))
+            n = out.count()
+            if name == "token_ids":
+                assert n == given.count()
+                continue
+            assert out.columns == docs.columns, name
+            assert n == 0 if given is not docs else 0 < n <= 2 * len(rows), name
+            if given is docs and name != "mix":  # null ids and texts stay, copies of a row go only in near_dedup
+                assert out.where("doc_id IS NULL AND text IS NULL").count() == 1, name
+                assert out.where("text IS NULL").count() == docs.where("text IS NULL").count(), name

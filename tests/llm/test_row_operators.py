@@ -2,8 +2,10 @@
 
 import base64
 import gzip
+import math
 import random
 import re
+import struct
 import zlib
 from hashlib import sha256
 
@@ -24,7 +26,10 @@ def test_media_round_trip_and_digests(spark):
         assert len(payload) % 64 == 0 and payload[: len(data)] == data and len(payload) - len(data) < 64 + (not data)
         m = media.mux(payload)
         assert media.demux(m) == payload
-        want.append((r[0], len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), sha256(m).hexdigest(), media.feature(media.tracks_of(m))))
+        [t] = plain.read_container(m)  # a reader of its own
+        assert b"".join(m[a : a + n] for a, n in t["units"]) == payload and t["units"][::16] == t["keyframes"]
+        feature = f'[{{"handler":"soun","codec":"raw","timescale":8000,"duration":{len(payload)},"units":{len(payload) // 64},"keyframes":[{",".join(f'"{a}+{n}"' for a, n in t["keyframes"])}]}}]'
+        want.append((r[0], len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), sha256(m).hexdigest(), feature))
     assert got == sorted(want, key=str)
     assert media.media_digests(media.store_texts(spark.createDataFrame([], plain.SCHEMA))).collect() == []
 
@@ -37,14 +42,96 @@ def test_media_walks_variants_and_reports_damage(spark):
     t = media.tracks_of(m)[0]
     assert (t["codec"], t["timescale"], t["duration"], t["units"]) == ("raw ", 8000, 1536, 24) and [n for _, n in t["keyframes"]] == [64, 64]
     # 4-bit and 16-bit unit sizes
-    assert media._sizes(b"\0\0\0\0\0\0\0\4\0\0\0\3\x12\x30", b"stz2", 0, 14) == (3, 0, [1, 2, 3])
-    assert media._sizes(b"\0\0\0\0\0\0\0\x10\0\0\0\2\0\5\1\0", b"stz2", 0, 16) == (2, 0, [5, 256])
+    sizes = lambda data: [x if isinstance(x, int) else x.tolist() for x in media._sizes(data, b"stz2", 0, len(data))]
+    assert sizes(b"\0\0\0\0\0\0\0\4\0\0\0\3\x12\x30") == [3, 0, [1, 2, 3]]
+    assert sizes(b"\0\0\0\0\0\0\0\x10\0\0\0\2\0\5\1\0") == [2, 0, [5, 256]]
     df = spark.createDataFrame([(1, bytearray(m)), (2, bytearray(m[:-70])), (3, None), (4, bytearray(b"junk")), (5, bytearray(media.box(b"free", b"x")))], "id int, media binary")
     got = {r["id"]: r["media_info"] for r in media.media_columns(df).collect()}
     assert got[1]["codec"] == "raw " and got[1]["error"] is None and len(got[1]["keyframes"]) == 2
     assert "past its parent" in got[2]["error"] and got[3]["error"] == "null" and "stray" in got[4]["error"] and got[5]["error"] == "no track"
 
 
+def container(tracks, tail=b""):
+    """A file of (handler, codec, chunks of unit sizes, sync units or None) with chunks of all tracks in turn."""
+    import struct as st
+
+    rng, mdat, traks = random.Random(1), bytearray(), []
+    ftyp = media.box(b"ftyp", b"isom", bytes(4))
+    placed = [[] for _ in tracks]
+    for c in range(max(len(t[2]) for t in tracks)):
+        for i, t in enumerate(tracks):
+            if c < len(t[2]):
+                placed[i].append(len(ftyp) + 8 + len(mdat))
+                mdat += rng.randbytes(sum(t[2][c])) + b"gap"
+    for i, (handler, codec, chunks, sync) in enumerate(tracks):
+        sizes = [x for c in chunks for x in c]
+        runs = [(c + 1, len(x), 1) for c, x in enumerate(chunks) if not c or len(x) != len(chunks[c - 1])]
+        parts = [media.full_box(b"stsd", st.pack(">I", 1), media.box(codec, bytes(20))), media.full_box(b"stts", st.pack(">III", 1, len(sizes), 10))]
+        parts += [media.full_box(b"stss", st.pack(f">I{len(sync)}I", len(sync), *sync))] if sync is not None else []
+        parts += [media.full_box(b"stsc", st.pack(f">I{3 * len(runs)}I", len(runs), *[x for r in runs for x in r])), media.full_box(b"stsz", st.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), media.full_box(b"co64", st.pack(f">I{len(chunks)}Q", len(chunks), *placed[i]))]
+        mdia = media.box(b"mdia", media.full_box(b"mdhd", st.pack(">IIII", 0, 0, 1000, 10 * len(sizes)), bytes(4)), media.full_box(b"hdlr", bytes(4), handler, bytes(12)), media.box(b"minf", media.box(b"stbl", *parts)))
+        traks.append(media.box(b"trak", media.full_box(b"tkhd", st.pack(">IIIII", 0, 0, i + 1, 0, 0)), mdia))
+    return ftyp + media.box(b"mdat", bytes(mdat)) + media.box(b"moov", *traks, *([media.box(b"mvex", media.full_box(b"trex", st.pack(">IIIII", 1, 1, 7, 5, 0x10000)))] if tail else [])) + tail
+
+
+def test_media_of_many_shapes_equals_the_plain_reader():
+    rng = random.Random(4)
+    for _ in range(60):
+        tracks = []
+        for handler, codec in ((b"soun", b"mp4a"), (b"vide", b"avc1"))[: rng.randrange(1, 3)]:
+            chunks = [[rng.randrange(0, 50) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 9))]
+            n = sum(map(len, chunks))
+            tracks.append((handler, codec, chunks, sorted(rng.sample(range(1, n + 1), rng.randrange(n + 1))) if rng.random() < 0.8 else None))
+        data = container(tracks)
+        got, want = media.tracks_of(data), plain.read_container(data)
+        for g, w in zip(got, want, strict=True):
+            assert (g["codec"], g["timescale"], g["duration"], g["units"]) == (w["codec"], w["timescale"], w["duration"], len(w["units"]))
+            assert b"".join(data[a : a + n] for a, n in g["ranges"]) == b"".join(data[a : a + n] for a, n in w["units"])
+            assert g["keyframes"] == w["keyframes"] if w["keyframes"] is not None else g["keyframes"] == g["ranges"]
+
+
+def test_media_fragments_and_every_track(spark):
+    import struct as st
+
+    tracks = [(b"soun", b"mp4a", [[4, 4]], None), (b"vide", b"avc1", [[9], [3]], [1])]
+    head = container(tracks, b"x")[:-1]
+    trun = lambda offset: media.full_box(b"trun", st.pack(">Ii", 3, offset), *[st.pack(">II", n, f) for n, f in ((6, 0), (7, 0x10000), (8, 0))], flags=0x601)
+    plain_run = lambda offset: media.full_box(b"trun", st.pack(">IiI", 2, offset, 0), flags=0x5)
+    fragment = lambda a, b: media.box(b"moof", media.full_box(b"mfhd", bytes(4)), media.box(b"traf", media.full_box(b"tfhd", st.pack(">I", 2), flags=0x20000), trun(a)), media.box(b"traf", media.full_box(b"tfhd", st.pack(">I", 1), flags=0x20000), plain_run(b)))
+    size = len(fragment(0, 0))
+    data = head + fragment(size + 8, size + 8 + 21) + media.box(b"mdat", bytes(range(31)))
+    sound, video = media.tracks_of(data)
+    at = len(head) + size + 8
+    assert video["units"] == 5 and video["keyframes"][1:] == [(at, 6), (at + 13, 8)] and video["ranges"][-1] == (at, 21)
+    assert sound["units"] == 4 and sound["keyframes"][-1] == (at + 21, 5) and sound["decode_time"] == 20 + 14
+    [row] = media.media_columns(spark.createDataFrame([(bytearray(data),)], "media binary")).collect()
+    info = row["media_info"]
+    assert info["codec"] == "avc1" and info["tracks"] == 2 and [t["codecs"] for t in info["every"]] == [["mp4a"], ["avc1"]] and info["error"] is None
+    with pytest.raises(ValueError, match="outside"):
+        media.tracks_of(head + fragment(size + 8, size + 90) + media.box(b"mdat", bytes(31)))
+
+
+def test_media_hostile_files_cost_little():
+    import struct as st
+    import time
+
+    began, deep = time.perf_counter(), b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    assert media.tracks_of(deep) == []
+    m = media.mux(media.pad(b"x"))
+    at = m.index(b"stsz")
+    for declared in (4_000_000, 2**32 - 1):
+        with pytest.raises(ValueError):
+            media.tracks_of(m[: at + 12] + st.pack(">I", declared) + m[at + 16 :])
+    for cut in range(0, len(m), 7):
+        try:
+            media.tracks_of(m[:cut] + b"\xff" * 5 + m[cut + 5 :])
+        except (ValueError, struct.error, IndexError, OverflowError):
+            pass
+    assert time.perf_counter() - began < 20
+
+
 def test_secrets_base_equals_plain_regex(spark):
     rng = random.Random(3)
     parts = ["password", "PassWd", "api_key", "apikey", "toKen", "ſecret", "=", ":", '"', "'", " ", "abc12345", "AKIA", "ABCDEFGH01234567", "0123456789abcdef" * 2, "deadbeef", "é", "\n", "==", "-._/"]
@@ -185,6 +272,75 @@ def test_urls_equal_brute_force(spark):
     assert url_filter.judge_urls(pages, rules.limit(0)).where("rule IS NOT NULL OR verdict <> 'allow'").count() == 0
 
 
+def test_many_paths_of_one_host():
+    import time
+
+    rng = random.Random(3)
+    rules = {"/" + "".join(rng.choice("ab/") for _ in range(rng.randrange(0, 9))): ("r", "block") for _ in range(300)}
+    paths = url_filter.Paths(rules)
+    for _ in range(2000):
+        p = "".join(rng.choice("ab/") for _ in range(rng.randrange(0, 12)))
+        assert paths.longest(p) == max((x for x in rules if p.startswith(x)), key=len, default=None)
+    many = url_filter.Paths({f"/p{i}/": ("r", "block") for i in range(100_000)})
+    began = time.perf_counter()
+    assert all(many.longest(f"/p{i}/x") == f"/p{i}/" and many.longest(f"/q{i}") is None for i in range(0, 100_000, 10))
+    assert time.perf_counter() - began < 2  # a scan of the rules takes minutes
+
+
+def brute_language(texts, learn):
+    """(language, score) of texts by counting n-grams one by one, from (text, language) rows."""
+
+    def buckets(text):
+        data, out = f" {' '.join(text.lower().split())} ".encode(), []
+        for i, k in enumerate(li.ORDERS):
+            for at in range(len(data) - k + 1):
+                h = data[at]
+                for b in data[at + 1 : at + k]:
+                    h = (h * 0x01000193 + b) % 2**32
+                out.append(i * 2**li.BUCKET_BITS + (h * 0x9E3779B1 % 2**32 >> 32 - li.BUCKET_BITS))
+        return out, len(data)
+
+    counts = {}
+    for text, lang in learn:
+        own = counts.setdefault(lang, [0] * li.SIZE)
+        for b in buckets(text)[0]:
+            own[b] += 1
+    names, size = sorted(counts), 2**li.BUCKET_BITS
+    rate = {n: [c + 0.5 for c in counts[n]] for n in names}
+    for n in names:
+        for k in range(len(li.ORDERS)):
+            total = sum(rate[n][k * size : (k + 1) * size])
+            rate[n][k * size : (k + 1) * size] = [x / total for x in rate[n][k * size : (k + 1) * size]]
+    code = li.codewords(len(names)).tolist()
+    out = []
+    for text in texts:
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        own, n = buckets(text)
+        loss = [0.0] * len(names)
+        for j in range(len(code[0])):
+            on, off = [x for x, c in zip(names, code, strict=True) if c[j] > 0], [x for x, c in zip(names, code, strict=True) if c[j] < 0]
+            margin = sum(math.log((sum(rate[x][b] for x in on) / len(on)) / (sum(rate[x][b] for x in off) / len(off))) for b in own) / n if on and off else 0.0
+            for i, c in enumerate(code):
+                loss[i] += math.log1p(math.exp(-li.SHARPNESS * c[j] * margin))
+        near = [math.exp(min(loss) - x) for x in loss]
+        best = max(range(len(names)), key=lambda i: near[i])
+        out.append((names[best], near[best] / sum(near)))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(12)
+    words = {"en": "the and of river house", "fr": "le les rivière maison où", "de": "der und fluß haus über"}
+    learn = [(" ".join(rng.choice(words[x].split()) for _ in range(12)), x) for x in sorted(words) for _ in range(8)]
+    texts = [" ".join(rng.choice(" ".join(words.values()).split()) for _ in range(rng.randrange(1, 9))) for _ in range(40)] + ["123", "", None, "é", "The  RIVER\n"]
+    model = li.train(spark.createDataFrame(learn, "text string, lang string"))
+    got = {r["doc_id"]: r for r in li.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (lang, score) in enumerate(brute_language(texts, learn)):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4, (texts[i], got[i], lang, score)
+
+
 def test_language_held_out_accuracy_and_cases(spark):
     words = {"en": "the and of to in that is was for with river house", "fr": "le la les des est dans que pour avec une rivière maison", "de": "der die das und ist nicht mit für eine fluß haus über", "es": "el los las que para con una por río casa niño está"}
     rng = random.Random(2)
