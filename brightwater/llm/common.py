@@ -11,9 +11,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app].rstrip("/")
 
 
+TABLES_PER_RELEASE = 10
+
+
 class SharedTables:
-    """Parquet tables of one operator run, under one fresh folder of the shared directory."""
+    """Parquet tables of one operator run, under one fresh folder of the shared directory.
+
+    After every ``TABLES_PER_RELEASE`` tables of the process the driver lets go of what it holds of
+    finished jobs: plans and results in its memory, and on the executors the shuffle files.
+    """
+
+    written = 0
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -56,6 +66,9 @@ class SharedTables:
         if partition_by:
             out = out.partitionBy(*partition_by)
         out.parquet(self.path(name))
+        SharedTables.written += 1
+        if SharedTables.written % TABLES_PER_RELEASE == 0:
+            release_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str | None = None) -> None:
@@ -73,6 +86,8 @@ class SharedTables:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let the driver notice shuffles that nothing refers to any more, so that their files go."""
+    gc.collect()  # Python's handles first
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 
@@ -83,6 +98,19 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*values, *known).alias("row"), F.xxhash64(F.lit("2"), *known, *values).alias("row2")
 
 
+_held: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """In a Python worker, which serves one operator after another: let go of the tables that the one before kept there."""
+    if _held and _held[0][0] != owner:
+        _held.pop()[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if not _held:
+        _held.append((owner, clear))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -162,6 +190,7 @@ _hashes = WordHashes()
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    claim("words", _hashes.clear)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

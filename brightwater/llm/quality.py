@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SharedTables, blocks_of, mix64
+from .common import SharedTables, blocks_of, claim, mix64, release_shuffles
 
 ORDER = 5
 PEAK_BYTES = 4
@@ -325,25 +325,31 @@ def load_block(model: DataFrame, langs: list[str], previous: frozenset[int] | No
     rows = model.where(F.col("lang").isin(langs))
     if previous is not None:
         rows = rows.where(F.col("prev").isNull() | F.col("prev").isin(sorted(previous)))
-    got = rows.select("lang", F.col("kind").cast("byte").alias("kind"), F.col("ord").cast("byte").alias("ord"), "key", F.col("value").cast("float").alias("value")).toArrow()
-    lang = np.array(got["lang"].combine_chunks().dictionary_encode().indices) if len(got) else np.zeros(0, int)
-    names = got["lang"].combine_chunks().dictionary_encode().dictionary.to_pylist() if len(got) else []
+    numbered = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])
+    got = rows.select(numbered[F.col("lang")].alias("lang"), F.col("kind").cast("byte").alias("kind"), F.col("ord").cast("byte").alias("ord"), "key", F.col("value").cast("float").alias("value")).toArrow()
+    lang = got["lang"].to_numpy()
     cols = [got[c].to_numpy() for c in ("ord", "key", "value", "kind")]
-    return {name: (cols[0][lang == i], cols[1][lang == i].view(np.uint64), cols[2][lang == i], cols[3][lang == i]) for i, name in enumerate(names)}
+    return {name: (cols[0][lang == i], cols[1][lang == i].view(np.uint64), cols[2][lang == i], cols[3][lang == i]) for i, name in enumerate(langs)}
 
 
 SCORES = "doc_id long, lang string, n_bytes long, nats double, peak double, spread double, words long, sums array<double>, sizes array<int>, mark long"
 _scorers: dict[str, dict[str, Scorer]] = {}
 
 
+def scorers_of(name: str, shared, previous: frozenset[int] | None) -> dict[str, Scorer]:
+    """The worker's tables of one block, for all tasks that run there; one block at a time stays in memory."""
+    claim("quality", _scorers.clear)
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = {lang: Scorer(*cols, previous) for lang, cols in shared.value.items()}
+    return _scorers[name]
+
+
 def _score_partition(shared, previous: frozenset[int] | None):
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()  # one block at a time stays in memory
-            _scorers[name] = {lang: Scorer(*cols, previous) for lang, cols in shared.value.items()}
-        scorers = _scorers[name]
+        scorers = scorers_of(name, shared, previous)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -373,6 +379,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     plain = ["doc_id", "lang", "n_bytes", "nats", "peak", "spread", "words", "mark"]
     if len(blocks) == 1 and blocks[0][1] is None:  # the usual case: one pass over everything
         shared = spark.sparkContext.broadcast(load_block(model, *blocks[0]))
+        release_shuffles(spark)
         return rows.mapInArrow(_score_partition(shared, None), SCORES).select(*plain)
     for langs, previous in blocks:
         shared = spark.sparkContext.broadcast(load_block(model, langs, previous))

@@ -42,12 +42,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SharedTables, blocks_of, prefix_sums, release_shuffles
+from .common import SharedTables, blocks_of, claim, prefix_sums, release_shuffles
 
 WINDOW = 16
 LEAST, MOST, MASK_BITS = 64, 2048, 9
 FAN_OUT = 1024
-KNOWN_PIECES, KNOWN_WORDS = 800_000, 400_000
+KNOWN_PIECES, KNOWN_WORDS = 600_000, 300_000
 END_ID = 1
 
 
@@ -79,6 +79,14 @@ PIECEWISE = {
 }
 
 
+def last_id(tokenizer_json: str) -> int:
+    """The largest id that the file gives."""
+    own = json.loads(tokenizer_json)
+    vocab = own["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return max([*ids, *(t["id"] for t in own.get("added_tokens") or [])], default=0)
+
+
 def works_piecewise(tokenizer_json: str) -> bool:
     """Whether the file splits as ``PIECEWISE`` does and its added tokens can be told by ``<|``."""
     own = json.loads(tokenizer_json)
@@ -106,7 +114,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.wide = last_id(tokenizer_json) >= 1 << 16
         self.dtype, self.code = ("<u4", "I") if self.wide else ("<u2", "H")  # machines of Spark are little-endian
         self.piecewise = works_piecewise(tokenizer_json)
         self.pieces = Pieces(self)
@@ -183,6 +191,16 @@ class Pieces(dict):
 _encoders: dict[int, Encoder] = {}
 
 
+def encoder_of(tokenizer_json: str) -> Encoder:
+    """The worker's encoder; its tables serve all tasks that run there."""
+    claim("tokens", _encoders.clear)
+    key = hash(tokenizer_json)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer_json)
+    return _encoders[key]
+
+
 def _gear() -> np.ndarray:
     """A random 64-bit number for each id, from a fixed rule."""
     from .common import mix64
@@ -228,10 +246,7 @@ _STAGED_ARROW = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_to
 
 def _encode_partition(tokenizer, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tokenizer.value)
-        if key not in _encoders:
-            _encoders[key] = Encoder(tokenizer.value)
-        encoder, gear, seen = _encoders[key], _gear(), set()
+        encoder, gear, seen = encoder_of(tokenizer.value), _gear(), set()
         width = 4 if encoder.wide else 2
         for batch in batches:
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
@@ -331,9 +346,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_c
     tables = tables or SharedTables(spark, "tokens")
     with open(tokenizer_path, encoding="utf-8") as f:  # the driver's file; executors get its content
         text = f.read()
-    from tokenizers import Tokenizer
-
-    wide = Tokenizer.from_str(text).get_vocab_size() > 1 << 16
+    wide = last_id(text) >= 1 << 16
     shared = spark.sparkContext.broadcast(text)  # a vocabulary: a few MB whatever the corpus
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     staged = tables.write(rows.mapInArrow(_encode_partition(shared, end_id), STAGED), "staged", "zstd", ["kind"])
